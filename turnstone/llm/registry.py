@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import substring, suffix, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
+        "op2_token_counts": tokens.op2_token_counts,
+        "op10_suffix_dedup": suffix.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.SQL}
+    return {
+        "op1_substring_dedup": substring.SQL,
+        "op10_suffix_dedup": suffix.SQL,
+    }
