@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring, suffix, tokens
+from . import decontam, simhash, substring, suffix, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_token_counts": tokens.op2_token_counts,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_decontaminate": decontam.op9_decontaminate,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
     }
 
@@ -20,5 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring.SQL,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_decontaminate": decontam.op9_decontaminate,
+        "op9_decontaminate": decontam.SQL,
         "op10_suffix_dedup": suffix.SQL,
     }
