@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash, substring, suffix, tokens
+from . import decontam, hilbert, mixing, simhash, substring, suffix, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_token_counts": tokens.op2_token_counts,
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_hilbert_shards": hilbert.op7_hilbert_shards,
         "op8_simhash": simhash.op8_simhash,
         "op9_decontaminate": decontam.op9_decontaminate,
         "op10_suffix_dedup": suffix.op10_suffix_dedup,
@@ -22,8 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring.SQL,
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_hilbert_shards": hilbert.op7_hilbert_shards,
         "op8_simhash": simhash.op8_simhash,
         "op9_decontaminate": decontam.op9_decontaminate,
+        "op4_mix_sources": mixing.SQL,
         "op9_decontaminate": decontam.SQL,
         "op10_suffix_dedup": suffix.SQL,
     }
