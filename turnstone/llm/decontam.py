@@ -75,32 +75,18 @@ class Scanner:
         return len(words), int(hit.sum()), sorted({self.names[i] for i in items}), spans
 
 
-def find_benchmarks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, pattern_bytes: int = PATTERN_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of OUT for each document, item_ids (sorted as strings) and spans, byte ranges of the original text; with keep, these columns of docs besides."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first()["b"] or 0
-    if size * window > pattern_bytes:
-        return by_join(docs, items, window, min_items, keep)
-    rows = [(r["item_id"], windows(normal_words(r["text"]), window)) for r in items.collect()]
-    names = sorted({n for n, _ in rows})
-    number = {n: i for i, n in enumerate(names)}
-    patterns: dict[bytes, set[int]] = {}
-    for name, ws in rows:
-        for w in ws:
-            patterns.setdefault(w, set()).add(number[name])
-    held = docs.sparkSession.sparkContext.broadcast(({p: tuple(i) for p, i in patterns.items()}, names))
-    types = {f.name: f for f in docs.schema.fields}
-    key = f"{hash(tuple(sorted(patterns)))}-{window}"
+def find_benchmarks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The columns of OUT for each document, item_ids (sorted as strings) and spans, byte ranges of the original text (null beyond pattern_bytes)."""
+    scanner = scanners(docs, benchmark, window, pattern_bytes)
+    if scanner is None:
+        return by_join(docs.select("doc_id", "text"), benchmark, window, min_items)
 
     def search(batches):
         import pyarrow as pa
 
-        cache = worker_cache()
-        if cache.get("decontam", (None,))[0] != key:
-            cache["decontam"] = (key, Scanner(*held.value, window))
-        scanner = cache["decontam"][1]
+        scan = scanner()
         for batch in batches:
-            found = [scanner.scan(t.as_py()) for t in batch.column("text")]
+            found = [scan(t.as_py()) for t in batch.column("text")]
             columns = {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "n_words": pa.array([f[0] for f in found], pa.int64()),
@@ -110,15 +96,60 @@ def find_benchmarks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 "contaminated": pa.array([len(f[2]) >= min_items for f in found], pa.bool_()),
                 "item_ids": pa.array([f[2] for f in found], pa.list_(pa.string())),
                 "spans": pa.array([f[3] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            } | {c: batch.column(c) for c in keep}
+            }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    wanted = list(dict.fromkeys(["doc_id", "text", *keep]))
-    out = ", ".join([OUT, "item_ids array<string>", SPANS, *(f"`{c}` {types[c].dataType.simpleString()}" for c in keep)])
-    return docs.select(*wanted).mapInArrow(search, out)
+    return docs.select("doc_id", "text").mapInArrow(search, f"{OUT}, item_ids array<string>, {SPANS}")
+
+
+def scanners(docs: DataFrame, benchmark: DataFrame, window: int, pattern_bytes: int):
+    """What gives the worker's scan function, built once a worker; None if the patterns are too large to send to all."""
+    items = named(benchmark)
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first()["b"] or 0
+    if size * window > pattern_bytes:
+        return None
+    rows = [(r["item_id"], windows(normal_words(r["text"]), window)) for r in items.collect()]
+    names = sorted({n for n, _ in rows})
+    number = {n: i for i, n in enumerate(names)}
+    patterns: dict[bytes, set[int]] = {}
+    for name, ws in rows:
+        for w in ws:
+            patterns.setdefault(w, set()).add(number[name])
+    key = hashlib.sha256(repr((names, sorted((p, sorted(i)) for p, i in patterns.items()))).encode()).hexdigest()
+    held = docs.sparkSession.sparkContext.broadcast(({p: tuple(i) for p, i in patterns.items()}, names))
+
+    def scanner():
+        cache = worker_cache()
+        if cache.get("decontam", (None,))[0] != key:
+            cache["decontam"] = (key, Scanner(*held.value, window))
+        return cache["decontam"][1].scan
+
+    return scanner
+
+
+def named(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """The rows of docs with windows of fewer than min_items items; all columns go through as they are."""
+    scanner = scanners(docs, benchmark, window, pattern_bytes)
+    if scanner is None:
+        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+        found = by_join(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, min_items)
+        return numbered.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+
+    @F.arrow_udf("int")
+    def items(text):
+        import pyarrow as pa
+
+        scan = scanner()
+        return pa.array([len(scan(t.as_py())[2]) for t in text], pa.int32())
+
+    return docs.where(items(F.col("text")) < min_items)
 
 
-def by_join(docs: DataFrame, items: DataFrame, window: int, min_items: int, keep: tuple[str, ...]) -> DataFrame:
+def by_join(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int) -> DataFrame:
     """The same for a benchmark of any size: windows are shuffled by their hash and joined; equal windows of many documents cost a row each, never a product."""
 
     def cut(column):
@@ -130,8 +161,8 @@ def by_join(docs: DataFrame, items: DataFrame, window: int, min_items: int, keep
         starts = F.sequence(F.lit(0), F.size("ws") - F.col("n"))
         return sized.select("*", F.explode(starts).alias("i")).withColumn("h", F.xxhash64(F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " "))).withColumn("w", F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " "))
 
-    spark = docs.sparkSession
-    source = written(docs.select(*dict.fromkeys(["doc_id", "text", *keep])).withColumn("rid", F.monotonically_increasing_id()))
+    spark, items = docs.sparkSession, named(benchmark)
+    source = written(docs.withColumn("rid", F.monotonically_increasing_id()))
     worded = source.select("rid", cut(F.col("text")).alias("ws"))
     item_words = items.select("item_id", cut(F.col("text")).alias("ws")).where(F.size("ws") > 0).withColumn("n", F.least(F.size("ws"), F.lit(window)))
     patterns = item_words.select("item_id", "n", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("n"))).alias("i")).select("item_id", "n", F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " ").alias("w")).distinct()
@@ -142,10 +173,9 @@ def by_join(docs: DataFrame, items: DataFrame, window: int, min_items: int, keep
     none = F.array().cast("array<string>")
     joined = source.join(worded.select("rid", F.size("ws").cast("long").alias("n_words")), "rid", "left").join(words, "rid", "left").join(ids, "rid", "left")
     joined = joined.withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_items", F.size("item_ids").cast("long"))
-    extra = [c for c in keep if c != "doc_id"]
     return joined.select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "n_items",
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"), "item_ids", F.lit(None).cast("array<struct<start: int, end: int>>").alias("spans"), *extra,
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"), "item_ids", F.lit(None).cast("array<struct<start: int, end: int>>").alias("spans"),
     )
 
 

@@ -72,8 +72,8 @@ def cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
 
 
-def request(block: int, keys: np.ndarray, buckets: int, flags: np.ndarray | None = None):
-    """The rows that ask about a block's distinct sorted keys; flags: one bit each to go along."""
+def request(block: int, keys: np.ndarray, buckets: int, flags: np.ndarray | None = None, bits: int = 64):
+    """The rows that ask about a block's distinct sorted keys, of which only the top bits are set; flags: one bit each to go along."""
     import pyarrow as pa
 
     at = cut(keys, buckets)
@@ -81,7 +81,7 @@ def request(block: int, keys: np.ndarray, buckets: int, flags: np.ndarray | None
     return pa.table({
         "bucket": pa.array(full, pa.int32()),
         "block": pa.array([block] * len(full), pa.int32()),
-        "keys": pa.array([pack(keys[at[i] : at[i + 1]]) for i in full], pa.binary()),
+        "keys": pa.array([pack(keys[at[i] : at[i + 1]] >> np.uint64(64 - bits)) for i in full], pa.binary()),
         "more": pa.array([b"" if flags is None else np.packbits(flags[at[i] : at[i + 1]]).tobytes() for i in full], pa.binary()),
     })
 

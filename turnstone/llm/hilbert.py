@@ -27,6 +27,7 @@ from .common import table, text_bytes, written
 
 SHARDS = 40
 BITS = 5
+OWN = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert"}
 OVERHEAD = 16  # bytes a row takes besides its text
 
 
@@ -66,7 +67,7 @@ def size_bin(size: Column) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert (the curve index); with keep, these columns of docs first."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert (the curve index); with keep, these columns of docs first (of clashing names, the operator's stands)."""
 
     @F.pandas_udf("int")
     def index(lang, source, size):
@@ -93,7 +94,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
     shard_of = F.expr(f"(rank * {shards}L) div {total}L")
     numbered = ordered.withColumn("rank", rank).withColumn("shard", shard_of.cast("int"))
     return numbered.select(
-        *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep) if c != "doc_id"),
+        *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep) if c not in OWN),
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
         (F.col("rank") - F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "hilbert",

@@ -36,7 +36,6 @@ ROUNDS = 150
 TIE = 0.5  # labels of whole documents can't teach it: in them all neighbours are alike
 THRESHOLD = 0.3
 FOLDS = 5
-OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def classes() -> tuple[np.ndarray, int]:
@@ -199,27 +198,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r["text"] for r in rows], np.array([picked[r["doc_id"]] == 1 for r in rows], bool), counts.get(1, 0) / sum(counts.values()))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and predicted of every row; with keep, these columns of docs too."""
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def score_column(model: Model):
+    """An expression's maker: the score of a text column, whole batches at a time."""
 
-    def each(batches):
+    @F.arrow_udf("double")
+    def scores(text):
         import pyarrow as pa
 
-        for batch in batches:
-            data, offsets = buffer(batch.column("text"))
-            found, at = [np.zeros(0)], 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, side="right")) - 1)
-                found.append(model.scores(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
-                at = to
-            scores = np.concatenate(found)
-            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()), "score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))} | {c: batch.column(c) for c in keep}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        data, offsets = buffer(text)
+        found, at = [np.zeros(0)], 0
+        while at < len(text):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, side="right")) - 1)
+            found.append(model.scores(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+            at = to
+        return pa.array(np.concatenate(found))
 
-    wanted = list(dict.fromkeys(["doc_id", "text", *keep]))
-    out = ", ".join(["doc_id long, score double, predicted int", *(f"`{c}` {types[c]}" for c in keep)])
-    return docs.select(*wanted).mapInArrow(each, out)
+    return scores
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold at least; all columns go through as they are."""
+    return docs.where(score_column(model)(F.col("text")) >= threshold)
 
 
 def fold(folds: int):
@@ -229,4 +228,5 @@ def fold(folds: int):
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold(FOLDS) != 0))
-    return score(docs, model).select("doc_id", (fold(FOLDS) == 0).alias("held_out"), "score", "predicted")
+    scored = docs.select("doc_id", (fold(FOLDS) == 0).alias("held_out"), score_column(model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -99,7 +99,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     def ask_anchors(docs):
         words = Words(docs)
         _, _, keys, n = anchors(words, window, bits)
-        return X.request(docs["block"][0].as_py(), keys, n_buckets, n > 1)
+        return X.request(docs["block"][0].as_py(), keys, n_buckets, n > 1, bits)
 
     def found(words, replies):
         at, key, keys, _ = anchors(words, window, bits)

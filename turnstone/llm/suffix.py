@@ -126,13 +126,13 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     total = total_bytes(docs)
     n_blocks = max(2, math.ceil(total / block_bytes))
     n_buckets = max(2, math.ceil(total * len(COVER) / PERIOD / BUCKET_KEYS))
-    bits = min(64, max(32, total.bit_length() + 10))
+    bits = min(64, max(32, total.bit_length() + 8))
     dealt = X.by_range(docs.select("doc_id", "text"), "doc_id", n_blocks)
 
     def ask_sample(docs):
         block = Block(docs)
         _, _, keys, n = sample(block, bits)
-        return X.request(block.number, keys, n_buckets, n > 1)
+        return X.request(block.number, keys, n_buckets, n > 1, bits)
 
     def ask_long(docs, replies):
         if not docs.num_rows:
