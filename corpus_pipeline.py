@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.llm import decontam, hilbert, mixing, quality, simhash
+from turnstone.llm import decontam, hilbert, mixing, near, quality
 from turnstone.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies."""
-    return simhash.remove_copies(docs)
+    """Keeps the smallest doc_id of each group of near copies: those that operator 8 links, and those of similarity 0.8 in five-word shingles."""
+    return near.remove_near_copies(docs)
 
 
 def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,16 +208,5 @@ def near_components(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def remove_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, one for each component; rows of a null doc_id stay."""
-    found = written(near_components(docs, distance, shingle).select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    repeated = not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
