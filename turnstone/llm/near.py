@@ -1,14 +1,16 @@
-"""Near copies by Jaccard similarity of word shingles, found by SimHash (operator 8's join at a higher budget).
+"""Near copies by Jaccard similarity of word shingles, found by wide SimHashes (operator 8's fingerprints, longer and for a lower similarity).
 
 Documents whose sets of SHINGLE-word shingles have a Jaccard similarity of
 SIMILARITY at least are linked; one of each linked group stays.
 
 1. Documents of equal shingle sets are one class.
-2. Each class has a SimHash of 256 bits.  Sets of similarity 0.8 differ in 39 of
-   them on average.  The bits are cut into eight segments; the trie join finds
-   all pairs that differ in at most SEGMENT_BUDGET bits of some segment (pairs
-   within 47 bits always do; at similarity 0.8 a pair misses with a chance of
-   about 3 in 10,000), of which those within LOOSE bits in all form loose groups.
+2. Each class has a SimHash of as many bits as are needed: its shingles' signed
+   count sketch, turned at random (signs, then a Hadamard transform), bit by sign.
+   Sets of similarity 0.8 differ in 15 % of the bits.  CHECK bits are compared;
+   the others form bands, and classes that agree on a whole band meet there.  A
+   band's bits grow with the logarithm of the number of classes; the number of
+   bands follows the chance MISS that a pair right at the threshold meets nowhere.
+   Those that meet and are within LOOSE of the CHECK bits form loose groups.
 3. Within a loose group every pair is compared exactly.  Large groups are cut
    into pieces, and each two pieces meet in a task of their own.
 
@@ -28,15 +30,17 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .common import parts, written
 from .components import components
-from .simhash import Stars, pairs
+from .simhash import Stars
 from .simhash import near_components as simhash_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SEGMENTS, SEGMENT_BUDGET, LOOSE = 8, 5, 64
+MISS = 1e-3
+SKETCH = 2048
+CHECK, LOOSE = 128, 36  # at similarity 0.8 19.5 bits differ, four deviations more make 36; unlike sets differ in 64
+STEP = 64  # sketches turned at a time
 PIECE = 400
 TASK_ENTRIES = 100_000
-WORDS = ["w0", "w1", "w2", "w3"]
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -53,58 +57,78 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([size(joined[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
 
 
-def wide_print(hashes: np.ndarray) -> np.ndarray:
-    """256 bits, as four words: set where over half of the hashes' derived bits are."""
-    out = np.zeros(4, np.uint64)
-    for k in range(4):
-        counts = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 8192):
-            h = X.mix(hashes[i : i + 8192] + np.uint64((k * X.ODD) % 2**64)).astype("<u8")
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+def plan(n: int, similarity: float, miss: float) -> tuple[int, int]:
+    """Bits of a band, and bands."""
+    bits = int(np.clip(round(math.log2(max(n, 2))) - 4, 8, 40))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, the 128-bit hash of its shingle set (k0, k1), and the four words of its SimHash."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A signed count sketch; the weights differ a little, so that no sums come out even."""
+    h = X.mix(hashes)
+    weight = np.where(h >> np.uint64(63), 1.0, -1.0) * (1 + (h >> np.uint64(40) & np.uint64(0xFFFF)).astype(np.float64) / 2**19)
+    return np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), weight, SKETCH)
+
+
+def signs(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """As many random-hyperplane bits of each row."""
+    out = []
+    for k in range(math.ceil(bits / SKETCH)):
+        flips = np.where(X.mix(np.arange(k * SKETCH + 1, (k + 1) * SKETCH + 1, dtype=np.uint64)) >> np.uint64(63), 1, -1).astype(np.float32)
+        x, half = sketches.astype(np.float32) * flips, 1
+        while half < SKETCH:
+            y = x.reshape(len(x), -1, 2, half)
+            x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), SKETCH)
+            half *= 2
+        out.append(x >= 0)
+    return np.concatenate(out, axis=1)[:, :bits]
+
+
+def prints(docs: DataFrame, shingle: int, bits: int, bands: int) -> DataFrame:
+    """doc_id, the 128-bit hash of its shingle set (k0, k1), its CHECK bits (c0, c1) and its bands' bits."""
 
     def each(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            rows = np.zeros((batch.num_rows, 6), np.uint64)
-            for i, text in enumerate(batch.column("text")):
-                hashes = shingle_set(text.as_py(), shingle)
-                key = xxhash.xxh3_128_intdigest(hashes.tobytes())
-                rows[i, 0], rows[i, 1], rows[i, 2:] = key >> 64, key & (2**64 - 1), wide_print(hashes)
+            texts, rows, coded = batch.column("text"), np.zeros((batch.num_rows, 4), np.uint64), []
+            for at in range(0, batch.num_rows, STEP):
+                held = []
+                for i, text in enumerate(texts[at : at + STEP]):
+                    hashes = shingle_set(text.as_py(), shingle)
+                    key = xxhash.xxh3_128_intdigest(hashes.tobytes())
+                    rows[at + i, 0], rows[at + i, 1] = key >> 64, key & (2**64 - 1)
+                    held.append(sketch(hashes))
+                bit = signs(np.stack(held), CHECK + bits * bands)
+                rows[at : at + STEP, 2:] = np.packbits(bit[:, :CHECK], axis=1).view("<u8")
+                coded += [v.tobytes() for v in np.packbits(bit[:, CHECK:], axis=1)]
             signed = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(signed[:, k].copy()) for k in range(6))], names=["doc_id", "k0", "k1", *WORDS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(signed[:, k].copy()) for k in range(4)), pa.array(coded, pa.binary())], names=["doc_id", "k0", "k1", "c0", "c1", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, k0 long, k1 long, w0 long, w1 long, w2 long, w3 long")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, k0 long, k1 long, c0 long, c1 long, bands binary")
 
 
-def loose_links(classes: DataFrame, n: int) -> DataFrame:
-    """Links (a, b) that join up all classes (cid, w0 to w3) within reach of the trie join."""
-    cuts = [(at - 32, size) for at, size in bands32(SEGMENT_BUDGET)]
-    tasks = max(parts(classes.sparkSession), math.ceil(n * SEGMENTS * len(cuts) / TASK_ENTRIES))
+def loose_links(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
+    """Links (a, b) that join up all classes (cid, c0, c1, bands) that meet in a band and are near."""
+    tasks = max(parts(classes.sparkSession), math.ceil(n * bands / TASK_ENTRIES))
 
     def entries(batches):
         import pyarrow as pa
 
         for batch in batches:
-            cid = batch.column("cid").to_numpy()
-            words = np.stack([batch.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
-            halves = words.view(np.uint32).reshape(len(cid), SEGMENTS).astype(np.uint64)
-            out = np.empty((len(cid), SEGMENTS * len(cuts), 6), np.uint64)
-            for s in range(SEGMENTS):
-                for k, (at, size) in enumerate(cuts):
-                    group = np.uint64(s * len(cuts) + k) << np.uint64(32) | (halves[:, s] << np.uint64(32 + at) >> np.uint64(64 - size))
-                    out[:, s * len(cuts) + k, 0] = group
-                    out[:, s * len(cuts) + k, 1] = cid.view(np.uint64)
-                    out[:, s * len(cuts) + k, 2:] = words
-            out = out.reshape(-1, 6)
-            to = (X.mix(out[:, 0]) % np.uint64(tasks)).astype(np.int64)
+            m = batch.num_rows
+            packed = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint8).reshape(m, -1)
+            wide = np.zeros((m, bands, 64), np.uint8)
+            wide[:, :, :bits] = np.unpackbits(packed, axis=1, count=bits * bands).reshape(m, bands, bits)
+            values = np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
+            out = np.empty((m, bands, 4), np.uint64)
+            out[:, :, 0] = X.mix(values + np.arange(bands, dtype=np.uint64) * np.uint64(X.ODD))  # a one-to-one image of the value, for each band
+            for k, c in enumerate(("cid", "c0", "c1"), 1):
+                out[:, :, k] = batch.column(c).to_numpy().view(np.uint64)[:, None]
+            out = out.reshape(-1, 4)
+            to = (out[:, 0] % np.uint64(tasks)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(tasks + 1))
             full = np.flatnonzero(np.diff(ends))
@@ -113,69 +137,32 @@ def loose_links(classes: DataFrame, n: int) -> DataFrame:
     def walk(got):
         import pyarrow as pa
 
-        rows = np.concatenate([np.frombuffer(r, np.uint64).reshape(-1, 6) for r in got["rows"].to_pylist()])
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        cut = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0], [True]]))
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if hi - lo < 2:
-                continue
-            s, k = divmod(int(rows[lo, 0] >> np.uint64(32)), len(cuts))
-            part, cid = rows[lo:hi, 2:], rows[lo:hi, 1]
-            segment = part.copy().view(np.uint32)[:, s].astype(np.uint64)
-            at, size = cuts[k]
-            values, which = np.unique(turned32(segment, at) << np.uint64(32), return_inverse=True)
-            stars = Stars(hi - lo)
-            order = np.argsort(which, kind="stable")
-            begins = np.searchsorted(which[order], np.arange(len(values) + 1))
-            holds = np.diff(begins)
-
-            def found(i, j):
-                """All members of like values i and j, of which those near in all 256 bits are linked."""
-                each = holds[i] * holds[j]
-                for x in chunks(each, 1 << 18):
-                    n, m = each[x], holds[j][x]
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    m = np.repeat(m, n)
-                    left, right = order[np.repeat(begins[i][x], n) + at // m], order[np.repeat(begins[j][x], n) + at % m]
-                    ok = (left != right) & (np.bitwise_count(part[left] ^ part[right]).sum(axis=1) <= LOOSE)
-                    stars.link(left[ok], right[ok])
-
-            many = np.flatnonzero(holds > 1)
-            found(many, many)
-            if len(values) > 1:
-                pairs(values, size, SEGMENT_BUDGET, found)
-            root = stars.roots(np.arange(hi - lo))
-            moved = np.flatnonzero(root != np.arange(hi - lo))
-            a.append(cid[moved])
-            b.append(cid[root[moved]])
-        return pa.table({"a": pa.array(np.concatenate(a).view(np.int64)), "b": pa.array(np.concatenate(b).view(np.int64))})
-
-    return classes.select("cid", *WORDS).mapInArrow(entries, "task int, rows binary").repartition(tasks, "task").groupBy("task").applyInArrow(walk, "a long, b long")
+        rows = np.concatenate([np.frombuffer(r, np.uint64).reshape(-1, 4) for r in got["rows"].to_pylist()])
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cids, who = np.unique(rows[:, 1].view(np.int64), return_inverse=True)
+        stars, check = Stars(len(cids)), rows[:, 2:].copy()
+        n = np.arange(len(rows))
+        later = np.searchsorted(rows[:, 0], rows[:, 0], side="right") - n - 1  # rows after each in its group
+        for s in chunks(later, 1 << 18):
+            left = np.repeat(n[s], later[s])
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[s]) - later[s], later[s])
+            near = np.bitwise_count(check[left] ^ check[right]).sum(axis=1) <= LOOSE
+            stars.link(who[left[near]], who[right[near]])
+        root = stars.roots(np.arange(len(cids)))
+        moved = np.flatnonzero(root != np.arange(len(cids)))
+        return pa.table({"a": pa.array(cids[moved]), "b": pa.array(cids[root[moved]])})
+
+    return classes.select("cid", "c0", "c1", "bands").mapInArrow(entries, "task int, rows binary").repartition(tasks, "task").groupBy("task").applyInArrow(walk, "a long, b long")
 
 
 def chunks(sizes: np.ndarray, most: int) -> list[slice]:
     """Slices of about `most` each, by running size."""
-    if not len(sizes):
+    if not len(sizes) or not sizes.any():
         return []
     ends = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(most, int(sizes.sum()) + most, most), side="left") + 1).clip(max=len(sizes))
     return [slice(lo, hi) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()) if hi > lo]
 
 
-def bands32(distance: int) -> list[tuple[int, int]]:
-    n, at, out = distance + 1, 32, []
-    for i in range(n):
-        size = 32 // n + (i < 32 % n)
-        out.append((at, size))
-        at += size
-    return out
-
-
-def turned32(values: np.ndarray, by: int) -> np.ndarray:
-    """32-bit values, turned to the left."""
-    return ((values << np.uint64(by)) | (values >> np.uint64(32 - by))) & np.uint64(0xFFFFFFFF) if by else values
-
-
 def exact_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) that join up all members (cid, comp, pieces) of like comp with the similarity; a member's text is that of the first document with its shingle set."""
 
@@ -235,9 +222,12 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable by links, for each row with a doc_id."""
     docs = docs.where("doc_id IS NOT NULL")
-    found = written(prints(docs, shingle))
-    classes = written(found.groupBy("k0", "k1").agg(F.min("doc_id").alias("cid"), *(F.first(w).alias(w) for w in WORDS)))
-    loose = written(components(loose_links(classes, classes.count())))
+    n = docs.count()
+    bits, bands = plan(n, similarity, MISS)
+    found = written(prints(docs, shingle, bits, bands))
+    classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands")
+    classes = written(classes)
+    loose = written(components(loose_links(classes, n, bits, bands)))
     sizes = loose.groupBy("component").agg(F.count("*").alias("n"))
     members = loose.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
     joined = components(written(exact_links(docs, members, similarity, shingle)))
