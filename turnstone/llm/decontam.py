@@ -27,7 +27,7 @@ from .common import table, worker_cache, written
 
 WINDOW = 8
 MIN_ITEMS = 2
-PATTERN_BYTES = 64 << 20
+PATTERN_BYTES = 8 << 20  # a worker's automaton takes up to some 80 bytes for each
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = "spans array<struct<start: int, end: int>>"
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))

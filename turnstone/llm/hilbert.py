@@ -88,11 +88,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
     part = F.shiftrightunsigned("at", 33)
     counts = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
     total, before = sum(r["n"] for r in counts), np.cumsum([0] + [r["n"] for r in counts])
-    offsets = F.create_map(*(F.lit(int(v)) for r, b in zip(counts, before) for v in (r["p"], b))) if counts else F.create_map(F.lit(0), F.lit(0))
-    rank = (offsets[part.cast("int")] + F.col("at").bitwiseAND(2**33 - 1)).cast("long")
+    bounds = ordered.sparkSession.createDataFrame([(int(r["p"]), int(b)) for r, b in zip(counts, before)], "p long, before long")  # a row a partition
+    rank = (F.col("before") + F.col("at").bitwiseAND(2**33 - 1)).cast("long")
     total = max(total, 1)
     shard_of = F.expr(f"(rank * {shards}L) div {total}L")
-    numbered = ordered.withColumn("rank", rank).withColumn("shard", shard_of.cast("int"))
+    numbered = ordered.join(F.broadcast(bounds), part.cast("long") == F.col("p")).withColumn("rank", rank).withColumn("shard", shard_of.cast("int"))
     return numbered.select(
         *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep) if c not in OWN),
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
