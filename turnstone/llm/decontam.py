@@ -135,9 +135,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int =
     """The rows of docs with windows of fewer than min_items items; all columns go through as they are."""
     scanner = scanners(docs, benchmark, window, pattern_bytes)
     if scanner is None:
-        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-        found = by_join(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, min_items)
-        return numbered.join(found.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+        row = "row" + "_" * max(map(len, docs.columns))  # no column of docs
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = by_join(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, window, min_items)
+        return numbered.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
     @F.arrow_udf("int")
     def items(text):
