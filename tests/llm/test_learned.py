@@ -81,6 +81,11 @@ def test_large_groups_are_cut_into_pieces(spark, monkeypatch):
         w = list(base)
         w[rng.randrange(120)] = f"new{i}"
         rows.append((i, " ".join(w)))
+    for i in range(60):  # chains: neighbours are alike, ends are not
+        w = list(base)
+        for k in range(i):
+            w[2 * k % 120] = f"step{k}"
+        rows.append((200 + i, " ".join(w)))
     rows += [(100 + i, B.text(rng, 60)) for i in range(10)]
     assert sorted(r["doc_id"] for r in near.remove_near_copies(B.frame(spark, rows)).collect()) == survivors(rows)
 

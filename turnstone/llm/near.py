@@ -11,8 +11,13 @@ SIMILARITY at least are linked; one of each linked group stays.
    band's bits grow with the logarithm of the number of classes; the number of
    bands follows the chance MISS that a pair right at the threshold meets nowhere.
    Those that meet and are within LOOSE of the CHECK bits form loose groups.
-3. Within a loose group every pair is compared exactly.  Large groups are cut
-   into pieces, and each two pieces meet in a task of their own.
+3. Within a loose group similarities are exact.  Groups of over PIECE classes are
+   cut into pieces.  First the classes of each piece are compared, then the first
+   class of each component so found with those of the other pieces.  What has
+   become one component needs nothing more; if others are left beside the largest
+   one, each of their classes is compared with all classes of the group, piece by
+   piece.  So a large group of near copies costs rows in number of its members,
+   and no link is lost.
 
 Results on odd input: null and empty texts have no shingles and are one class;
 texts of fewer words than a shingle have one shingle; rows that repeat a doc_id
@@ -163,19 +168,41 @@ def chunks(sizes: np.ndarray, most: int) -> list[slice]:
     return [slice(lo, hi) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()) if hi > lo]
 
 
-def exact_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) that join up all members (cid, comp, pieces) of like comp with the similarity; a member's text is that of the first document with its shingle set."""
+def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """cid and hashes, the shingle set, of members (cid): that of the first document with it."""
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
             hashes = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cid", "comp", "pieces")), pa.array(hashes, pa.binary())], names=["cid", "comp", "pieces", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(hashes, pa.binary())], names=["cid", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members, "cid")
-    held = texts.mapInArrow(sets, "cid long, comp long, pieces int, hashes binary").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces").cast("int"))
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("comp", "cid", "hashes", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid"), "cid")
+    return texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary")
+
+
+def piece(pieces: str):
+    return F.pmod(F.xxhash64("cid"), pieces).cast("int")
+
+
+def upto(n):
+    """0 to n - 1, none for n = 0."""
+    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+
+
+def spot(p, q):
+    return F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"))
+
+
+def each_two(at, pieces):
+    """Where a member of a piece goes so that it meets every piece's members."""
+    return F.transform(upto(pieces), lambda i: spot(F.least(at, i), F.greatest(at, i)))
+
+
+def exact_links(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join up all members (cid, comp, spots) which meet in a spot (p, q) of like comp and have the similarity."""
+    met = sets.join(members, "cid").select("comp", "cid", "hashes", F.explode("spots").alias("s")).select("comp", "cid", "hashes", "s.p", "s.q")
 
     def compare(batches):
         import pyarrow as pa
@@ -194,7 +221,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, shingle:
                     b.append(cid[lo:hi][j])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return met.repartition(parts(docs.sparkSession) * 2, "comp", "p", "q").mapInArrow(compare, "a long, b long")
+    return met.repartition(parts(sets.sparkSession) * 2, "comp", "p", "q").mapInArrow(compare, "a long, b long")
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -219,6 +246,37 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
     return moved, root[moved]
 
 
+def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) that join up all classes (cid, comp) of like comp with the similarity, in the three rounds of step 3."""
+
+    def joined(links: DataFrame, of: DataFrame) -> DataFrame:
+        """of with group, the component that the links give."""
+        found = components(links).select(F.col("node").alias("cid"), F.col("component").alias("group"))
+        return written(of.join(found, "cid", "left").withColumn("group", F.coalesce("group", "cid")))
+
+    sets = written(shingle_sets(docs, loose, shingle))
+    sizes = loose.groupBy("comp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    members = written(loose.join(sizes, "comp"))
+    inside = written(exact_links(sets, members.withColumn("spots", F.array(spot(piece("pieces"), piece("pieces")))).select("cid", "comp", "spots"), similarity))
+    large = members.where("pieces > 1").select("cid", "comp")
+    if large.isEmpty():
+        return inside
+    firsts = joined(inside, large).where("cid = group").select("cid", "comp")
+    counts = firsts.groupBy("comp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    between = written(exact_links(sets, firsts.join(counts, "comp").withColumn("spots", each_two(piece("pieces"), F.col("pieces"))).select("cid", "comp", "spots"), similarity))
+    both = inside.unionByName(between)
+    groups = joined(both, large)
+    ranked = groups.groupBy("comp", "group").agg(F.count("*").alias("n"))
+    main = ranked.groupBy("comp").agg(F.max(F.struct("n", "group")).alias("main"), F.sum("n").alias("all"))
+    open_ = main.where("all > main.n").select("comp", F.col("main.group").alias("main"), F.ceil(F.col("main.n") / PIECE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / PIECE).cast("int").alias("rests"))
+    left = groups.join(open_, "comp").withColumn("rest", F.col("group") != F.col("main"))
+    left = left.withColumn("at", F.when(F.col("rest"), piece("rests")).otherwise(piece("mains")))
+    with_main = F.transform(upto(F.col("mains")), lambda k: spot(F.col("at"), F.col("rests") + k))
+    with_rest = F.transform(upto(F.col("rests")), lambda i: spot(i, F.col("rests") + F.col("at")))
+    spots = F.when(F.col("rest"), F.concat(each_two(F.col("at"), F.col("rests")), with_main)).otherwise(with_rest)
+    return both.unionByName(exact_links(sets, left.select("cid", "comp", spots.alias("spots")), similarity))
+
+
 def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable by links, for each row with a doc_id."""
     docs = docs.where("doc_id IS NOT NULL")
@@ -227,10 +285,8 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     found = written(prints(docs, shingle, bits, bands))
     classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands")
     classes = written(classes)
-    loose = written(components(loose_links(classes, n, bits, bands)))
-    sizes = loose.groupBy("component").agg(F.count("*").alias("n"))
-    members = loose.join(sizes, "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    joined = components(written(exact_links(docs, members, similarity, shingle)))
+    loose = components(loose_links(classes, n, bits, bands)).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    joined = components(written(tight_links(docs, written(loose), similarity, shingle)))
     placed = classes.join(joined, F.col("cid") == F.col("node"), "left").select("k0", "k1", F.coalesce("component", "cid").alias("component_id"))
     return found.join(placed, ["k0", "k1"]).select("doc_id", "component_id")
 
