@@ -10,9 +10,11 @@ sum(min(capacity, level * weight)) = budget for the level, in closed form.
 
 A leaf's budget is spent in epochs: whole passes first, then a prefix of a
 seeded order of its rows, of another seed for each epoch.  The prefix holds the
-rows whose running token count stays within the budget.  The running count is
-made of sums of 4096 slices of the order and of the rows before within a slice,
-so a source with a third of all rows is never in one task.
+rows whose running token count stays within the budget.  The order is cut into
+4096 slices by the hash: sums of the slices tell in which one the budget ends, and
+only that slice's rows are put in order, so a source with a third of all rows is
+never in one task, and texts are not shuffled: the plan, a row for each leaf, is
+written and joined with the rows where they are.
 
 All of it is DataFrame operations; nothing comes to the driver.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import table, text_bytes, written
 
 LANG_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 SHARE = 0.6
@@ -84,14 +86,21 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     )
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     spent = budgets(leaves, share, max_epochs, domain_weights or {}, LANG_WEIGHTS if lang_weights is None else lang_weights, source_weights or {})
-    spent = spent.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    ordered = rows.join(spent, LEAF).withColumn("u", F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.col("doc_id").cast("string")))).withColumn("slice", F.substring("u", 1, 3))
-    sums = ordered.groupBy(*LEAF, "slice").agg(F.sum("n_tokens").alias("here"))
-    sums = sums.withColumn("before", F.sum("here").over(Window.partitionBy(*LEAF).orderBy("slice")) - F.col("here")).drop("here")
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "slice").orderBy("u", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chosen = ordered.join(sums, [*LEAF, "slice"]).withColumn("upto", F.col("before") + run)
-    return chosen.select(
-        "doc_id", *LEAF, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("epochs") + (F.col("upto") <= F.col("left")).cast("long")).cast("long").alias("n_copies"),
+    epochs = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
+    spent = written(spent.withColumn("epochs", epochs).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")).drop("tokens"))
+
+    def ordered(plan: DataFrame) -> DataFrame:
+        return rows.join(plan, LEAF).withColumn("u", F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.col("doc_id").cast("string")))).withColumn("slice", F.substring("u", 1, 3))
+
+    sums = ordered(spent).groupBy(*LEAF, "left", "slice").agg(F.sum("n_tokens").alias("here"))
+    sums = sums.withColumn("upto", F.sum("here").over(Window.partitionBy(*LEAF).orderBy("slice")))
+    cuts = sums.where("upto > left").groupBy(*LEAF).agg(F.min(F.struct("slice", (F.col("upto") - F.col("here")).alias("before"))).alias("cut"))
+    placed = ordered(written(spent.join(cuts, LEAF, "left").select(*LEAF, "budget", "epochs", "left", F.col("cut.slice").alias("cut"), "cut.before")))
+    whole = placed.where("cut IS NULL OR slice <> cut").withColumn("more", F.coalesce(F.col("slice") < F.col("cut"), F.lit(True)))
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("u", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    split = placed.where("slice = cut").withColumn("more", F.col("before") + run <= F.col("left"))
+    return whole.unionByName(split).select(
+        "doc_id", *LEAF, "n_tokens", F.col("budget").alias("leaf_budget"), (F.col("epochs") + F.col("more").cast("long")).cast("long").alias("n_copies"),
         *(f"kept_{i}" for i in range(len(keep))),
     )
 
