@@ -81,8 +81,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) ->
         F.col("doc_id").cast("long").alias("doc_id"), (text_bytes() + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.md5(text)).alias("group"), *mine,
         category_bin(F.col("lang")).alias("lang_bin"), category_bin(F.col("source")).alias("source_bin"),
     )
-    firsts = rows.groupBy("group").agg(F.min(F.struct("doc_id", "lang_bin", "source_bin")).alias("first"))
-    placed = rows.drop("lang_bin", "source_bin").join(firsts, "group").withColumn("hilbert", index("first.lang_bin", "first.source_bin", size_bin(F.col("size")))).drop("first")
+    own = F.struct("doc_id", "lang_bin", "source_bin")
+    copies = written(rows.groupBy("group").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1").drop("n"))  # single texts, the most, need no join
+    placed = rows.join(copies, "group", "left").withColumn("first", F.coalesce("first", own)).drop("lang_bin", "source_bin")
+    placed = placed.withColumn("hilbert", index("first.lang_bin", "first.source_bin", size_bin(F.col("size")))).drop("first")
     order = ["hilbert", "group", "doc_id"]
     ordered = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).drop("group"))
     part = F.shiftrightunsigned("at", 33)
