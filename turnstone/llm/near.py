@@ -285,7 +285,7 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     found = written(prints(docs, shingle, bits, bands))
     classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands")
     classes = written(classes)
-    loose = components(loose_links(classes, n, bits, bands)).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    loose = components(written(loose_links(classes, n, bits, bands))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
     joined = components(written(tight_links(docs, written(loose), similarity, shingle)))
     placed = classes.join(joined, F.col("cid") == F.col("node"), "left").select("k0", "k1", F.coalesce("component", "cid").alias("component_id"))
     return found.join(placed, ["k0", "k1"]).select("doc_id", "component_id")
