@@ -69,11 +69,11 @@ def size_bin(size: Column) -> Column:
 def shard(docs: DataFrame, shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert (the curve index); with keep, these columns of docs first (of clashing names, the operator's stands)."""
 
-    @F.pandas_udf("int")
+    @F.arrow_udf("int")
     def index(lang, source, size):
-        import pandas as pd
+        import pyarrow as pa
 
-        return pd.Series(hilbert_index([lang.to_numpy(), source.to_numpy(), size.to_numpy()], BITS).astype(np.int32))
+        return pa.array(hilbert_index([a.to_numpy(zero_copy_only=False) for a in (lang, source, size)], BITS).astype(np.int32))
 
     text = F.coalesce("text", F.lit(""))
     mine = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]

@@ -31,7 +31,7 @@ from .common import buffer, table
 SAMPLE = 1500
 SAMPLE_BYTES = 20_000
 SAMPLE_LINES = 100
-STEP = 2 << 20  # bytes of text whose features are held at a time
+STEP = 1 << 19  # bytes of text whose features are held at a time: some 80 bytes of arrays for each
 ROUNDS = 150
 TIE = 0.5  # labels of whole documents can't teach it: in them all neighbours are alike
 THRESHOLD = 0.3
