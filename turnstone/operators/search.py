@@ -26,6 +26,7 @@ def search(edus: DataFrame, query: Column, as_of: str, current_project: str | No
     chosen = edus if strict_project is None else edus.where(F.col("project") == strict_project)
     chosen = chosen if since is None else chosen.where(F.col("ts") >= F.lit(since).cast("timestamp"))
     chosen = chosen if until is None else chosen.where(F.col("ts") < F.lit(until).cast("timestamp"))
-    found = nearest(chosen, query, candidates).withColumn("recency_weight", S.recency(as_of, F.col("ts"), decay, clamp)).withColumn("project_boost", S.boost(F.col("project"), current_project, factor))
-    scored = found.withColumn("score", F.col("similarity") * F.col("recency_weight") * F.col("project_boost"))
+    weight, factor = S.recency(as_of, F.col("ts"), decay, clamp), S.boost(F.col("project"), current_project, factor)
+    # one projection: with two between them, a limit and its sort are not planned as a top-k
+    scored = nearest(chosen, query, candidates).withColumns({"recency_weight": weight, "project_boost": factor, "score": F.col("similarity") * weight * factor})
     return scored.orderBy(F.desc("score"), "edu_id").limit(results).drop("embedding")
