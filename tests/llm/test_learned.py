@@ -1,5 +1,8 @@
 """The quality classifier, the near-copy stage and the pipeline."""
 
+import itertools
+import random
+
 import brute as B
 import numpy as np
 import pytest
@@ -7,7 +10,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnstone.llm import near, quality, registry
+from turnstone.llm import near, quality, registry, simhash
 from turnstone.llm.common import table
 
 ROWS = B.odd_documents()
@@ -66,6 +69,29 @@ def test_near_copies_by_all_pairs(spark):
     assert near.remove_near_copies(docs.limit(0)).count() == 0
 
 
+def test_short_near_copies_by_all_pairs(spark):
+    rng = random.Random(31)
+    rows = []
+    for _ in range(700):  # at 0.8 or just over it: 4 and 5, 5 and 6, 8 of 9 and 9, 64 and 80 shingles
+        for length, cut, more in ((8, 0, 1), (9, 0, 1), (13, 1, 1)) if len(rows) < 3600 else ((68, 0, 16), (67, 0, 15)):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[cut:] + [f"v{rng.randrange(10**6)}" for _ in range(more)]))]
+    rows += [(len(rows) + i, f"the same five words here {i} w{rng.randrange(9)}") for i in range(900)]  # one shingle that many share
+    sets, held = {k: frozenset(near.shingle_set(t, near.SHINGLE).tolist()) for k, t in rows}, {}
+    for k, s in sets.items():
+        for h in s:
+            held.setdefault(h, []).append(k)
+    stars = simhash.Stars(len(rows))
+    for at in held.values():
+        for i, j in itertools.combinations(at, 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                stars.link(np.array([i]), np.array([j]))
+    expected = stars.roots(np.arange(len(rows)))
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(B.frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and (expected != np.arange(len(rows))).sum() > 1000
+    assert [k for k, _ in rows if got[k] != expected[k]] == []
+
+
 def test_near_copies_of_the_table(spark):
     docs = table(spark, DATA, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -4,14 +4,19 @@ Documents whose sets of SHINGLE-word shingles have a Jaccard similarity of
 SIMILARITY at least are linked; one of each linked group stays.
 
 1. Documents of equal shingle sets are one class.
-2. Each class has a SimHash of as many bits as are needed: its shingles' signed
-   count sketch, turned at random (signs, then a Hadamard transform), bit by sign.
+2. Sketches of few shingles have dependent bits, so classes of fewer than FEW
+   shingles are found exactly: those that share one of their rarest shingles (as
+   many as no partner can do without) and whose sizes allow the similarity form
+   groups.  Classes of up to FEW / SIMILARITY shingles take part, as their
+   partners may be larger.
+   Each class of FEW and more has a SimHash of as many bits as are needed: its
+   shingles' signed count sketch, turned at random (signs, then a Hadamard transform), bit by sign.
    Sets of similarity 0.8 differ in 15 % of the bits.  CHECK bits are compared;
    the others form bands, and classes that agree on a whole band meet there.  A
    band's bits grow with the logarithm of the number of classes; the number of
    bands follows the chance MISS that a pair right at the threshold meets nowhere.
    Those that meet and are within LOOSE of the CHECK bits form loose groups.
-3. Within a loose group similarities are exact.  Groups of over PIECE classes are
+3. Within a group of either kind similarities are exact.  Groups of over PIECE classes are
    cut into pieces.  First the classes of each piece are compared, then the first
    class of each component so found with those of the other pieces.  What has
    become one component needs nothing more; if others are left beside the largest
@@ -40,9 +45,10 @@ from .simhash import near_components as simhash_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-MISS = 1e-3
+MISS = 1e-6
+FEW = 64
 SKETCH = 2048
-CHECK, LOOSE = 128, 36  # at similarity 0.8 19.5 bits differ, four deviations more make 36; unlike sets differ in 64
+CHECK, LOOSE = 128, 40  # at similarity 0.8 19.5 bits differ, five deviations more make 40; unlike sets differ in 64
 STEP = 64  # sketches turned at a time
 PIECE = 400
 TASK_ENTRIES = 100_000
@@ -90,29 +96,57 @@ def signs(sketches: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out, axis=1)[:, :bits]
 
 
-def prints(docs: DataFrame, shingle: int, bits: int, bands: int) -> DataFrame:
-    """doc_id, the 128-bit hash of its shingle set (k0, k1), its CHECK bits (c0, c1) and its bands' bits."""
+def most_shingles(similarity: float) -> int:
+    """The largest set that can have the similarity to one of fewer than FEW shingles."""
+    return math.floor((FEW - 1) / similarity + 1e-6)
+
+
+def prints(docs: DataFrame, shingle: int, bits: int, bands: int, similarity: float) -> DataFrame:
+    """doc_id, the 128-bit hash of its shingle set (k0, k1), its CHECK bits (c0, c1) and its bands' bits (null for fewer than FEW shingles), and the shingles themselves where they are few."""
+    most = most_shingles(similarity)
 
     def each(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            texts, rows, coded = batch.column("text"), np.zeros((batch.num_rows, 4), np.uint64), []
+            texts, rows, coded, few = batch.column("text"), np.zeros((batch.num_rows, 4), np.uint64), [None] * batch.num_rows, []
             for at in range(0, batch.num_rows, STEP):
-                held = []
+                held, wide = [], []
                 for i, text in enumerate(texts[at : at + STEP]):
                     hashes = shingle_set(text.as_py(), shingle)
                     key = xxhash.xxh3_128_intdigest(hashes.tobytes())
                     rows[at + i, 0], rows[at + i, 1] = key >> 64, key & (2**64 - 1)
-                    held.append(sketch(hashes))
-                bit = signs(np.stack(held), CHECK + bits * bands)
-                rows[at : at + STEP, 2:] = np.packbits(bit[:, :CHECK], axis=1).view("<u8")
-                coded += [v.tobytes() for v in np.packbits(bit[:, CHECK:], axis=1)]
+                    few.append(hashes.view(np.int64) if len(hashes) <= most else None)
+                    if len(hashes) >= FEW:
+                        held.append(sketch(hashes))
+                        wide.append(at + i)
+                if held:
+                    bit = signs(np.stack(held), CHECK + bits * bands)
+                    rows[wide, 2:] = np.packbits(bit[:, :CHECK], axis=1).view("<u8")
+                    for i, v in zip(wide, np.packbits(bit[:, CHECK:], axis=1)):
+                        coded[i] = v.tobytes()
             signed = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(signed[:, k].copy()) for k in range(4)), pa.array(coded, pa.binary())], names=["doc_id", "k0", "k1", "c0", "c1", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(signed[:, k].copy()) for k in range(4)), pa.array(coded, pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "k0", "k1", "c0", "c1", "bands", "few"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, k0 long, k1 long, c0 long, c1 long, bands binary, few array<long>")
+
+
+def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
+    """cid and comp: groups, of two classes at least, in which all classes of few shingles meet those that can have the similarity, one in several groups.
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, k0 long, k1 long, c0 long, c1 long, bands binary")
+    A set of n shingles shares similarity * n at least with any partner.  In any one order of all shingles, so the
+    first n - ceil(similarity * n) + 1 of both have one in common; the rarest come first.  Shingles of a single class
+    are counted and not looked up.  Sizes that allow the similarity are in the same step of powers or the next.
+    """
+    shingles = classes.where("few IS NOT NULL").select("cid", F.size("few").alias("n"), F.explode("few").alias("h"))
+    counts = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = shingles.join(counts, "h").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1 - (F.col("n") - F.size("hs"))
+    step = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-6)
+    taken = shared.where(first > 0).select("cid", step.alias("step"), F.explode(F.slice("hs", F.lit(1), first.cast("int"))).alias("at"))
+    groups = written(taken.select("cid", F.explode(F.array(F.xxhash64("at.h", "step"), F.xxhash64("at.h", F.col("step") + 1))).alias("comp")))
+    return groups.join(groups.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1"), "comp").select("cid", "comp")
 
 
 def loose_links(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
@@ -178,7 +212,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
             hashes = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(hashes, pa.binary())], names=["cid", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid"), "cid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid").distinct(), "cid")
     return texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary")
 
 
@@ -247,7 +281,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 
 
 def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (a, b) that join up all classes (cid, comp) of like comp with the similarity, in the three rounds of step 3."""
+    """Links (a, b) that join up all classes (cid, comp; a cid can be in several) of like comp with the similarity, in the three rounds of step 3."""
 
     def joined(links: DataFrame, of: DataFrame) -> DataFrame:
         """of with group, the component that the links give."""
@@ -261,7 +295,7 @@ def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: i
     large = members.where("pieces > 1").select("cid", "comp")
     if large.isEmpty():
         return inside
-    firsts = joined(inside, large).where("cid = group").select("cid", "comp")
+    firsts = joined(inside, large).groupBy("comp", "group").agg(F.min("cid").alias("cid")).select("cid", "comp")
     counts = firsts.groupBy("comp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     between = written(exact_links(sets, firsts.join(counts, "comp").withColumn("spots", each_two(piece("pieces"), F.col("pieces"))).select("cid", "comp", "spots"), similarity))
     both = inside.unionByName(between)
@@ -282,10 +316,11 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     docs = docs.where("doc_id IS NOT NULL")
     n = docs.count()
     bits, bands = plan(n, similarity, MISS)
-    found = written(prints(docs, shingle, bits, bands))
-    classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands")
+    found = written(prints(docs, shingle, bits, bands, similarity))
+    classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands", "few")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands", "first.few")
     classes = written(classes)
-    loose = components(written(loose_links(classes, n, bits, bands))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    loose = components(written(loose_links(classes.where("bands IS NOT NULL"), n, bits, bands))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    loose = loose.unionByName(rare_groups(classes, similarity))
     joined = components(written(tight_links(docs, written(loose), similarity, shingle)))
     placed = classes.join(joined, F.col("cid") == F.col("node"), "left").select("k0", "k1", F.coalesce("component", "cid").alias("component_id"))
     return found.join(placed, ["k0", "k1"]).select("doc_id", "component_id")
