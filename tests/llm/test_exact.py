@@ -88,6 +88,25 @@ def test_op6(spark):
     assert untaught["score"] == pytest.approx(8 * 4 * B.math.log10(0.5), abs=1e-3) and untaught["train_tokens"] == 0
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_op6_more_rows_of_a_key_than_two_bytes_count(spark, same):
+    rows = spark.range(70_000).select("id", F.when(F.lit(same), "one").otherwise(F.concat(F.lit("t"), F.col("id") % 501)).alias("text"))
+
+    def scored(key):
+        docs = rows.select(key.cast("long").alias("doc_id"), "text")
+        return {tuple(r) for r in ctw.score(docs, F.lit(False)).groupBy(F.round("score", 3).alias("s"), F.round("base_score", 5).alias("b"), "n_bytes", "n_tokens").agg(F.count("*").alias("n")).collect()}
+
+    assert scored(F.lit(None)) == scored(F.col("id"))
+
+
+def test_op6_blocks_of_many_rows():
+    import pyarrow as pa
+
+    texts = [f"t{i % 501}" for i in range(70_000)]
+    block = ctw.Block(pa.table({"doc_id": pa.nulls(70_000, pa.int64()), "text": texts, "held_out": [False] * 70_000, "block": pa.array([0] * 70_000, pa.int32())}))
+    assert np.bincount(block.row).tolist() == [len(t) + 1 for t in texts] and not (block.grams >> np.uint64(48)).any()
+
+
 def test_op8(spark):
     prints = [B.fingerprint(t, 4) for _, t in ROWS]
     for distance in (4, 9):
