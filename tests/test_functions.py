@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import scoring as S
 from turnstone.functions import text as T
-from turnstone.operators.reports import humanized, status_text
+from turnstone.functions.embedding import by_model, hashed
+from turnstone.operators.reports import humanized, padded, status_text
+from turnstone.sources.questions import moment
 
 
 def one(spark, column):
@@ -61,5 +63,29 @@ def test_future_recency(spark):
 
 def test_status():
     text = status_text(7, 2, None, 1, 0, 2)
-    assert "7 facts" in text and "no sessions found" in text and "3 conversations (1 new, 2 ingesting)" in text
-    assert "All terminated" in status_text(0, 0, 5, 0, 0, 0)
+    assert "stored: 7" in text and "never" in text and "3 sessions (new 1, ingesting 2)" in text
+    assert "Waiting: none" in status_text(0, 0, 5, 0, 0, 0)
+
+
+def test_whole_numbers(spark):
+    assert one(spark, T.whole_numbers(F.array(*map(F.lit, ["1", "2.9", "x", "", "-3"])))) == [1, 2, -3]
+    assert one(spark, T.thousands(F.lit(1234567))) == "1,234,567"
+
+
+def test_embedding(spark):
+    import math
+
+    v = one(spark, hashed(F.lit("Wort wort anders")))
+    assert len(v) == 64 and math.isclose(sum(x * x for x in v), 1) and sorted(v)[-1] == pytest.approx(2 / math.sqrt(5))
+    assert one(spark, hashed(F.lit(None).cast("string"))) == [0.0] * 64
+    model = by_model(lambda: lambda texts: [[float(len(t))] for t in texts])
+    assert one(spark, model(F.lit("abc"))) == [3.0]
+
+
+def test_moments(spark):
+    assert one(spark, moment(F.lit("2023/05/20 (Sat) 02:21"))) == datetime(2023, 5, 20, 2, 21)
+    assert one(spark, moment(F.lit("2023-05-20"))) is None
+
+
+def test_padding_never_cuts(spark):
+    assert one(spark, padded(F.lit("abcdef"), 4)) == "abcdef" and one(spark, padded(F.lit("a"), 3, True)) == "  a"

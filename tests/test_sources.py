@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstone.operators import ingest as I
+from turnstone.sources import files
 from turnstone.sources import sessions as S
 from turnstone.sources.store import SCHEMA_VERSION, Store
 from turnstone.streaming.turns import drain, turn_stream
@@ -49,37 +50,57 @@ def test_signatures_and_pending(spark, tmp_path):
     assert sorted((r["session_id"], r["old_turn_count"], r["status"]) for r in forced) == [("s1", 0, "new"), ("s2", 0, "new")]
 
 
+NAMES = ["p", "q", "a=b", "a%b", "x/y", "c:d", "007", "12", "", " ", None]
+
+
 def test_store(spark, tmp_path):
     root = str(tmp_path / "store")
     store = Store(spark, root)
-    paths = spark.createDataFrame([("t1", "s1", "p", 1), ("t2", "s2", "p", 1), ("t3", "s3", "q", 1)], "trajectory_id string, session_id string, project string, n int")
+    rows = [(f"t{i}{k}", f"s{i}{k}", p, 1) for i, p in enumerate(NAMES) for k in "ab"]
+    paths = spark.createDataFrame(rows, "trajectory_id string, session_id string, project string, n int")
     words = paths.select("trajectory_id", "project", F.lit("k").alias("keyword"))
     store.upsert("trajectories", paths, "trajectory_id")
     store.append("trajectory_keywords", words)
     store.append("edus", paths.select("session_id", "project", F.col("trajectory_id").alias("edu_id")))
-    store.upsert("trajectories", spark.createDataFrame([("t1", "s1", "p", 5)], paths.schema), "trajectory_id")
-    assert sorted((r["trajectory_id"], r["n"]) for r in store.table("trajectories").collect()) == [("t1", 5), ("t2", 1), ("t3", 1)]
-    store.delete_sessions(spark.createDataFrame([("s1",), ("s3",)], "session_id string"))
+    store.upsert("trajectories", spark.createDataFrame([("t0a", "s0a", "q", 5)], paths.schema), "trajectory_id")
+    got = {r["trajectory_id"]: (r["project"], r["n"]) for r in store.table("trajectories").collect()}
+    assert got == {t: ("q", 5) if t == "t0a" else (p, n) for t, _, p, n in rows}  # names come back as they were
+    assert [r["trajectory_id"] for r in store.table("trajectories", "007").orderBy("trajectory_id").collect()] == ["t6a", "t6b"]
+    store.delete_sessions(spark.createDataFrame([(f"s{i}a",) for i in range(len(NAMES))], "session_id string"))
     for name, column in (("trajectories", "trajectory_id"), ("trajectory_keywords", "trajectory_id"), ("edus", "edu_id")):
-        assert [r[column] for r in store.table(name).collect()] == ["t2"]
-    store.log("flags", paths.limit(1))
-    assert spark.read.json(f"{root}/flags").count() == 1
+        assert sorted(r[column] for r in store.table(name).collect()) == sorted(f"t{i}b" for i in range(len(NAMES)))
+    store.compact("edus")
+    store.clean()
+    assert len(store.versions()) == 1 and store.table("edus").count() == len(NAMES)
+    store.log("flags", [{"a": 1}])
+    store.log("flags", [{"a": 2}])
+    assert [r["a"] for r in store.read_log("flags")] == [1, 2]
     Store(spark, root)
-    spark.createDataFrame([(json.dumps({"schema_version": SCHEMA_VERSION + 1}),)], "value string").write.mode("overwrite").text(f"{root}/_meta")
+    newest = tmp_path / "store" / "_manifest" / store.versions()[-1]
+    held = json.loads(newest.read_text())
+    files.write(spark, str(newest), json.dumps(held | {"schema_version": SCHEMA_VERSION + 1}))
     with pytest.raises(ValueError):
         Store(spark, root)
-
-
-def test_process_and_state(spark):
-    turns = spark.createDataFrame([("s", "p", i, datetime(2024, 1, 1), "user", f"alpha beta {i}\nalpha beta gamma") for i in range(3)], "session_id string, project string, turn_id long, ts timestamp, speaker string, text string")
-    state = spark.createDataFrame([("s", "p", "h", 1, 2, 1, False)], "session_id string, project string, hash string, turn_count long, edu_count long, trajectory_count long, partial boolean")
-    facts, paths, words = I.process(turns, state)
-    assert facts.count() == 3 and paths.count() >= 1 and words.count() >= 1
-    done = spark.createDataFrame([("s", "p", "h2", 3, 3, 1, False)], state.schema)
-    after = I.state_after(state, done).collect()
-    assert [(r["hash"], r["turn_count"], r["edu_count"], r["trajectory_count"]) for r in after] == [("h2", 3, 5, 2)]
-    bad = spark.createDataFrame([("s", True)], "session_id string, failed boolean")
-    assert I.complete(facts, bad).count() == 0
+    (tmp_path / "old" / "edus").mkdir(parents=True)
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "old"))
+
+
+def test_a_failed_commit_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("t", "p")], "trajectory_id string, project string")
+    store.append("trajectories", rows)
+    with pytest.raises(RuntimeError), store.commit() as change:
+        change.upsert("trajectories", rows.withColumn("trajectory_id", F.lit("u")), "trajectory_id")
+        raise RuntimeError
+    assert [r["trajectory_id"] for r in store.table("trajectories").collect()] == ["t"]
+    one, two = store.commit(), store.commit()
+    one.append("trajectories", rows)
+    two.append("trajectories", rows)
+    one.__exit__(None, None, None)
+    with pytest.raises(Exception):  # the second writer began from an older state
+        two.__exit__(None, None, None)
+    assert store.table("trajectories").count() == 2
 
 
 def test_stream(spark, tmp_path):
@@ -91,6 +112,6 @@ def test_stream(spark, tmp_path):
     sink = lambda df, _: seen.extend((r["session_id"], r["turn_id"]) for r in df.collect())
     batch("1.json", [("s", "p", 0, "2024-01-01T00:00:00Z", "user", "a"), ("s", "p", 0, "2024-01-01T00:00:00Z", "user", "a"), ("s", "p", 1, "2024-01-01T00:01:00Z", "system", "b")])
     drain(turn_stream(spark, str(tmp_path / "in")), sink, str(tmp_path / "ck")).awaitTermination()
-    batch("2.json", [("s", "p", 2, "2024-01-01T00:02:00Z", "assistant", "c")])
+    batch("2.json", [("s", "p", 2, "2024-01-01T00:02:00Z", "assistant", " c\t"), ("s", "p", 3, "2024-01-01T00:02:00Z", "user", "\t\n ")])
     drain(turn_stream(spark, str(tmp_path / "in")), sink, str(tmp_path / "ck")).awaitTermination()
     assert sorted(seen) == [("s", 0), ("s", 2)]

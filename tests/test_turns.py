@@ -61,6 +61,6 @@ def test_dedup_keeps_first_valid(spark):
 
 
 def test_segments(spark):
-    rows = spark.createDataFrame([(1, i, same) for i, same in enumerate([None, True, False, None, False])], "session_id long, edu_seq long, same boolean")
+    rows = spark.createDataFrame([(1, i, f"e{i}", same) for i, same in enumerate([None, True, False, None, False])], "session_id long, edu_seq long, edu_id string, same boolean")
     got = E.segment(rows).orderBy("edu_seq").collect()
     assert [(r["grp"], r["trajectory_index"]) for r in got] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]

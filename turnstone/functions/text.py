@@ -78,3 +78,12 @@ def age(seconds: Column) -> Column:
     n = F.when(s < 60, F.greatest(s, F.lit(1))).when(s < 3600, F.floor(s / 60)).when(s < 86400, F.floor(s / 3600)).otherwise(F.floor(s / 86400)).cast("long")
     unit = F.when(s < 60, F.lit("second")).when(s < 3600, F.lit("minute")).when(s < 86400, F.lit("hour")).otherwise(F.lit("day"))
     return F.concat(n.cast("string"), F.lit(" "), unit, F.when(n == 1, F.lit("")).otherwise(F.lit("s")), F.lit(" ago"))
+
+
+def whole_numbers(raw: Column) -> Column:
+    """An array of texts as longs: decimals lose their fraction, what is no number goes."""
+    return F.filter(F.transform(raw, lambda x: x.try_cast("double").try_cast("long")), lambda x: x.isNotNull())
+
+
+def thousands(number: Column) -> Column:
+    return F.format_number(number, 0)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.functions import scoring as S
+from turnstone.operators.squares import squares, unit_rows
 
 
 def stratified(rows: DataFrame, kind: str, key: str, most: int = 5, seed: int = 42) -> DataFrame:
@@ -26,9 +26,28 @@ def accuracy(judged: DataFrame, kind: str, correct: str) -> DataFrame:
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, rank: each query's k most similar vectors but itself.  The stated query set meets all rows; k are kept a query."""
-    pairs = vectors.join(queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label")), F.col("id") != F.col("query_id"))
-    scored = pairs.withColumn("similarity", F.round(S.similarity(F.col("embedding"), F.col("q")), 9)).drop("embedding", "q")
+    """query_id, id, rank, label and query_label: each query's k most similar vectors but itself.
+
+    The stated query set meets all rows, in squares that keep k rows of each query."""
+
+    def square(rows, asked):
+        import numpy as np
+        import pyarrow as pa
+
+        out = [[], [], [], [], []]
+        if rows.num_rows and asked.num_rows:
+            ids, labels, v = rows["id"].to_numpy(), rows["label"].to_numpy(zero_copy_only=False), unit_rows(rows["embedding"])
+            for who, of, u in zip(asked["id"].to_pylist(), asked["label"].to_pylist(), unit_rows(asked["embedding"])):
+                s = np.where(ids == who, -1, np.round((1 + v @ u) / 2, 9))
+                some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+                best = some[np.lexsort((ids[some], -s[some]))[:k]]
+                best = best[s[best] >= 0]
+                for held, values in zip(out, ([who] * len(best), ids[best].tolist(), s[best].tolist(), labels[best].tolist(), [of] * len(best))):
+                    held += values
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("query_id", "id", "similarity", "label", "query_label"), out, kinds)})
+
+    scored = squares(vectors.select("id", "label", "embedding"), queries.select("id", "label", "embedding"), square, "query_id long, id long, similarity double, label int, query_label int")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

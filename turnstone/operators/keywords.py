@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
+from turnstone.operators.squares import squares, unit_rows
 
 MERGE, FLAG = 0.9, 0.75
 
 
 def of_projects(keywords: DataFrame, trajectories: DataFrame) -> DataFrame:
     """project, trajectory_id, keyword."""
-    return keywords.join(trajectories.select("trajectory_id", "project"), "trajectory_id").select("project", "trajectory_id", "keyword")
+    return keywords.select("trajectory_id", "keyword").join(trajectories.select("trajectory_id", "project"), "trajectory_id").select("project", "trajectory_id", "keyword")
 
 
 def cloud(keywords: DataFrame, trajectories: DataFrame) -> DataFrame:
@@ -37,42 +38,73 @@ def letter_counts(word: Column) -> Column:
     return F.array(*(F.length(word) - F.length(F.replace(word, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz")).cast("array<double>")
 
 
-def edit_ratio():
-    """difflib's ratio of two strings, the new one first; the one similarity that no built-in gives."""
+def likest(flag: float, edits: bool) -> Callable:
+    """For squares of new (raw, v) and existing words (nearest, w): each new word's likest, the first by name of equals, if it reaches the flag threshold."""
 
-    @F.pandas_udf("double")
-    def ratio(new, old):
+    def compare(new, old):
+        from collections import Counter
         from difflib import SequenceMatcher
 
-        import pandas as pd
-
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old)])
-
-    return ratio
+        import numpy as np
+        import pyarrow as pa
+
+        out = []
+        if new.num_rows and old.num_rows:
+            names = sorted(range(old.num_rows), key=old["nearest"].to_pylist().__getitem__)
+            old = old.take(pa.array(names))
+            words, w = old["nearest"].to_pylist(), unit_rows(old["w"])
+            letters = sorted({c for x in words for c in x})
+            at = {c: i for i, c in enumerate(letters)}
+            counts = np.zeros((len(words), len(letters)), np.int16)
+            for i, x in enumerate(words):
+                for c in x:
+                    counts[i, at[c]] += 1
+            sizes = np.array([len(x) for x in words])
+            for raw, v in zip(new["raw"].to_pylist(), unit_rows(new["v"])):
+                alike = np.round(w @ v, 9)
+                if edits:
+                    mine = np.zeros(len(letters), np.int16)
+                    for c, n in Counter(raw).items():
+                        if c in at:
+                            mine[at[c]] = n
+                    bound = 2 * np.minimum(counts, mine).sum(axis=1) / (sizes + len(raw))  # no ratio is higher
+                    for i in np.flatnonzero(bound >= np.maximum(flag, alike) - 1e-9):
+                        alike[i] = max(alike[i], round(SequenceMatcher(None, raw, words[i]).ratio(), 9))
+                best = int(alike.argmax())
+                if alike[best] >= flag:
+                    out.append((raw, words[best], float(alike[best])))
+        raw, nearest, similarity = zip(*out) if out else ((), (), ())
+        return pa.table({"raw": pa.array(raw, pa.string()), "nearest": pa.array(nearest, pa.string()), "similarity": pa.array(similarity, pa.float64())})
+
+    return compare
 
 
 def canonicalize(raw: DataFrame, existing: DataFrame, embed: Callable[[Column], Column] = letter_counts, merge: float = MERGE, flag: float = FLAG, edits: bool = True) -> DataFrame:
-    """raw, canonical, nearest, similarity and status (existing, merged, flagged, accepted) of each distinct raw keyword.
-
-    raw and existing have a column keyword.  Each new keyword is compared with all existing ones, as the merge rule asks; the existing ones, a project's cloud, are joined without a hint, so Spark broadcasts them only where their size allows."""
-    from turnstone.functions.scoring import cosine
+    """raw, canonical, nearest, similarity and status (existing, merged, flagged, accepted) of each distinct raw keyword; nearest and similarity only where merged or flagged.
 
+    raw and existing have a column keyword.  Each new keyword is compared with all existing ones, as the merge rule asks,
+    in squares of bounded size.  The edit ratio, difflib's with the new word first, is computed only for pairs whose letters
+    allow the flag threshold."""
     raw = raw.select("keyword").where("keyword IS NOT NULL AND keyword <> ''").distinct()
     old = existing.select("keyword").where("keyword IS NOT NULL AND keyword <> ''").distinct()
-    known = raw.join(old, "keyword", "left_semi").select(F.col("keyword").alias("raw"), F.col("keyword").alias("canonical"), F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("similarity"), F.lit("existing").alias("status"))
-    new = raw.join(old, "keyword", "left_anti").select(F.col("keyword").alias("raw"), embed(F.col("keyword")).alias("v"))
-    pairs = new.join(old.select(F.col("keyword").alias("nearest"), embed(F.col("keyword")).alias("w")), F.lit(True), "left")
-    alike = cosine(F.col("v"), F.col("w"))
-    if edits:
-        alike = F.greatest(alike, edit_ratio()(F.col("raw"), F.coalesce("nearest", F.lit(""))))
-    scored = pairs.withColumn("similarity", F.when(F.col("nearest").isNotNull(), F.round(alike, 9)))
-    best = scored.groupBy("raw").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "nearest")).alias("best"))  # of equals, the first by name
-    judged = best.select("raw", (-F.col("best.s")).alias("similarity"), F.col("best.nearest").alias("nearest"))
+    nothing = [F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("similarity")]
+    known = raw.join(old, "keyword", "left_semi").select(F.col("keyword").alias("raw"), F.col("keyword").alias("canonical"), *nothing, F.lit("existing").alias("status"))
+    fresh = raw.join(old, "keyword", "left_anti").select(F.col("keyword").alias("raw"))
+    word = F.col("keyword")
+    near = squares(fresh.select("raw", embed(F.col("raw")).alias("v")), old.select(word.alias("nearest"), embed(word).alias("w")), likest(flag, edits), "raw string, nearest string, similarity double")
+    best = near.groupBy("raw").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "nearest")).alias("best"))  # of equals, the first by name
+    judged = fresh.join(best, "raw", "left").select("raw", F.col("best.nearest").alias("nearest"), (-F.col("best.s")).alias("similarity"))
     status = F.when(F.col("similarity") >= merge, F.lit("merged")).when(F.col("similarity") >= flag, F.lit("flagged")).otherwise(F.lit("accepted"))
     judged = judged.withColumn("status", status)
     return known.unionByName(judged.withColumn("canonical", F.when(F.col("status") == "merged", F.col("nearest")).otherwise(F.col("raw"))))
 
 
+def flag_records(mapping: DataFrame, project: str, at: str) -> list[dict]:
+    """The flagged keywords of a mapping as records for the log."""
+    rows = mapping.where("status = 'flagged'").select("raw", "nearest", F.round("similarity", 4).alias("similarity")).orderBy("raw").collect()
+    return [{"timestamp": at, "project": project, "new_keyword": r["raw"], "nearest_existing": r["nearest"], "similarity": r["similarity"]} for r in rows]
+
+
 def rewrite(keywords: DataFrame, mapping: DataFrame) -> DataFrame:
     """trajectory_id, keyword with canonical keywords, each once."""
     joined = keywords.join(mapping.select(F.col("raw").alias("keyword"), "canonical"), "keyword", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from turnstone.functions import text as T
 from turnstone.operators import edus as E
 from turnstone.operators import keywords as K
 from turnstone.operators import turns as N
+from turnstone.sources.scratch import fresh, written
+from turnstone.sources.store import Store
 
 AS_OF = "2025-01-01 00:00:00"
 BLANK = T.BLANK
@@ -32,16 +36,42 @@ def tagged(edus: DataFrame) -> DataFrame:
 
 
 def edus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts in their trajectories, computed from conversations."""
     facts = tagged(E.dedup_facts(E.line_facts(turns(spark, sf_dir))))
-    return E.segment(E.boundaries(facts)).select("session_id", "project", "ts", "turn_id", "pos", "text", "edu_seq", "edu_id", "tag", "grp", "trajectory_id", "trajectory_index")
+    return E.segment(E.boundaries(facts)).select("session_id", "project", "ts", "turn_id", "pos", "text", "source_turn_ids", "speakers", "edu_seq", "edu_id", "tag", "grp", "trajectory_id", "trajectory_index")
+
+
+@dataclass
+class Tables:
+    """What an ingest leaves in the store, for the queries that read it."""
+
+    edus: DataFrame
+    trajectories: DataFrame
+    keywords: DataFrame
+    frequency: DataFrame
 
 
-def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.trajectories(edus(spark, sf_dir))
+HELD: dict[tuple[str, str], Tables] = {}
 
 
-def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.trajectory_keywords(edus(spark, sf_dir))
+def stored(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables, written once a session and data folder: recall and catalogs read what ingestion wrote."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in HELD:
+        facts = written(edus(spark, sf_dir))
+        paths, words = written(E.trajectories(facts)), written(E.trajectory_keywords(facts))
+        HELD[key] = Tables(facts, paths, words, written(K.frequencies(words, paths)))
+    return HELD[key]
+
+
+def a_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of its own with these tables."""
+    held, store = stored(spark, sf_dir), Store(spark, fresh(spark))
+    with store.commit() as change:
+        change.append("edus", held.edus)
+        change.append("trajectories", held.trajectories)
+        change.append("trajectory_keywords", K.of_projects(held.keywords, held.trajectories))
+    return store
 
 
 def terms(keywords: DataFrame, most: int = 3) -> DataFrame:
@@ -58,9 +88,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edu_vectors(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
-    """Vectors of facts: the fact whose turn, line and session give the vector's number, modulo a prime."""
-    numbered = facts.select("trajectory_id", "project", ((F.col("session_id") * 31 + F.col("edu_seq")) % 499).alias("n")).groupBy("n").agg(F.min(F.struct("trajectory_id", "project")).alias("t"))
-    return table(spark, sf_dir, "embeddings").join(numbered, (F.col("vec_id") % 499) == F.col("n")).select(F.col("vec_id").alias("edu_id"), "t.trajectory_id", "t.project", "embedding")
+    """Each fact with one of the vectors, by a hash of its id."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = F.lit(given.count())
+    place = F.pmod(F.conv(F.substring(F.md5("edu_id"), 1, 8), 16, 10).cast("long"), n)
+    return facts.select("edu_id", "trajectory_id", "project", place.alias("vec_id")).join(given, "vec_id").drop("vec_id")
 
 
 def state(spark: SparkSession, sf_dir: str, spoken: DataFrame) -> DataFrame:
@@ -76,28 +108,23 @@ def signatures(spoken: DataFrame) -> DataFrame:
     return spoken.groupBy("session_id", "project").agg(F.md5(joined).alias("hash"), F.count("*").alias("n"))
 
 
-def frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = edus(spark, sf_dir)
-    return K.frequencies(E.trajectory_keywords(facts), E.trajectories(facts))
-
-
 TURNS = rf"""turns AS (
   SELECT conv_id AS session_id, 'p' || (conv_id % 5) AS project, role AS speaker, regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') AS text,
     TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS ts, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_id
   FROM conversations WHERE role IN ('user', 'assistant') AND regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g') <> '')"""
 EDUS = rf"""{TURNS}, lines AS (
-  SELECT session_id, project, ts, turn_id, generate_subscripts(ls, 1) - 1 AS pos, regexp_replace(unnest(ls), '^{BLANK}+|{BLANK}+$', '', 'g') AS text
+  SELECT session_id, project, ts, turn_id, speaker, generate_subscripts(ls, 1) - 1 AS pos, regexp_replace(unnest(ls), '^{BLANK}+|{BLANK}+$', '', 'g') AS text
   FROM (SELECT *, string_split_regex(text, '\r\n|\r|\n') AS ls FROM turns)),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, lower(text) ORDER BY turn_id, pos) AS rn FROM lines WHERE text <> '') WHERE rn = 1),
 facts AS (
-  SELECT session_id, project, ts, turn_id, pos, text, row_number() OVER (PARTITION BY session_id ORDER BY turn_id, pos) - 1 AS edu_seq, session_id || '-' || turn_id || '-' || pos AS edu_id,
+  SELECT session_id, project, ts, turn_id, pos, text, row_number() OVER (PARTITION BY session_id ORDER BY turn_id, pos) - 1 AS edu_seq, sha256(concat_ws(chr(31), session_id, turn_id, text)) AS edu_id, speaker,
     (['decision', 'preference', 'gotcha', 'config', 'architecture', 'project'])[length(text) % 6 + 1] AS tag, regexp_extract_all(lower(text), '\p{{L}}+') AS toks FROM firsts),
 judged AS (
   SELECT *, turn_id - prev_turn AS gap, CASE WHEN len(list_distinct(list_concat(prev_toks, toks))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(prev_toks), list_distinct(toks)))::DOUBLE / len(list_distinct(list_concat(prev_toks, toks))) END AS similarity
   FROM (SELECT *, lag(turn_id) OVER o AS prev_turn, lag(toks) OVER o AS prev_toks, count(*) OVER (PARTITION BY session_id) AS n FROM facts WINDOW o AS (PARTITION BY session_id ORDER BY edu_seq))),
 grouped AS (SELECT *, (sum(CASE WHEN prev_turn IS NULL OR (gap <= 1 AND similarity >= 0.05) THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY edu_seq))::BIGINT AS grp FROM judged),
 edus AS (
-  SELECT session_id, project, ts, turn_id, pos, text, edu_seq, edu_id, tag, grp, toks, session_id || '-' || grp AS trajectory_id, row_number() OVER (PARTITION BY session_id, grp ORDER BY edu_seq) - 1 AS trajectory_index FROM grouped),
+  SELECT session_id, project, ts, turn_id, pos, text, edu_seq, edu_id, tag, grp, toks, sha256(concat_ws(chr(31), 'trajectory', session_id, first_value(edu_id) OVER (PARTITION BY session_id, grp ORDER BY edu_seq))) AS trajectory_id, row_number() OVER (PARTITION BY session_id, grp ORDER BY edu_seq) - 1 AS trajectory_index FROM grouped),
 traj AS (
   SELECT trajectory_id, session_id, project, min(turn_id) AS start_turn, max(turn_id) AS end_turn, min(ts) AS created_at, left(arg_min(text, edu_seq), 120) AS summary, count(*) AS edu_count
   FROM edus GROUP BY trajectory_id, session_id, project),

@@ -9,15 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from turnstone.functions import text as T
+
 TURN = "session_id string, project string, turn_id long, ts timestamp, speaker string, text string"
 
 
 def turn_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
     """Turns from JSON files under path, each (session_id, turn_id) once within the watermark."""
     read = spark.readStream.schema(TURN).json(path)
-    return read.where("speaker IN ('user', 'assistant') AND trim(text) <> ''").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "turn_id"])
+    spoken = read.where("speaker IN ('user', 'assistant')").withColumn("text", T.strip(F.col("text"))).where("text <> ''")
+    return spoken.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id", "turn_id"])
 
 
 def drain(turns: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
