@@ -243,3 +243,28 @@ EMPTY = {
 @pytest.mark.parametrize("name", EMPTY)
 def test_empty_tables(spark, name):
     assert EMPTY[name](B.frame(spark, ROWS).limit(0)).count() == 0
+
+
+def test_op3_vectors_of_one_id(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(3, a.tolist()), (3, b.tolist()), (7, (a + 0.01 * b).tolist()), (-5, (2 * b).tolist()), (None, b.tolist())]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert rows_of(got, "vec_id", "n_links", "component_id") == sorted([(3, 1, 3), (3, 2, -5), (7, 1, 3), (-5, 2, -5), (None, 2, -5)], key=str)
+
+
+def test_op3_large_groups_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP", 7)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((3, 24))
+    held = np.concatenate([base[rng.integers(0, 3, 90)] + 0.12 * rng.standard_normal((90, 24)), rng.standard_normal((60, 24))])
+    unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    of = B.roots(len(held), lambda i, j: near[i, j])
+    expected = [(i, int(near[i].sum()) - 1, c) for i, c in enumerate(B.smallest(list(range(len(held))), of))]
+    got = vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "vec_id long, embedding array<double>"))
+    assert rows_of(got, "vec_id", "n_links", "component_id") == sorted(expected, key=str) and near.sum() > 1000
+
+
+def test_op3_empty(spark):
+    assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstone.sources import scratch
+
 
 #: Most rows and bytes of a batch that goes to a Python worker: rows are whole texts, and 10,000 of them can be a gigabyte.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
@@ -29,22 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='turnstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/turnstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return scratch.written(df)
+
+
+#: Classes of more rows than this are joined by broadcast, the largest HOTTEST of them.
+HOT, HOTTEST = 500, 1000
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows.join(classes, keys) where classes has each key once and, as size, how many rows have it.
+
+    The largest classes, HOTTEST at most, go to all tasks, so that their rows need no shuffle; what is left of a key is
+    no more than its share of HOTTEST of all rows."""
+    hot = written(classes.where(F.col(size) > HOT).orderBy(F.desc(size)).limit(HOTTEST))
+    if hot.isEmpty():
+        return rows.join(classes, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(classes, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def worker_cache() -> dict:

@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014): each round
 is two shuffles whose aggregates combine on the map side, and the number of
-rounds grows with the logarithm of the graph.  Each round is written to the
-shared folder, so a lost executor costs one round at most.
+rounds grows with the logarithm of the graph.  The links of hubs are joined where
+they are, by a broadcast of bounded size.  Each round is written to the shared
+folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -54,11 +55,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each node's larger neighbours move to the smallest of its neighbours and itself
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: each node's smaller neighbours and itself move to the smallest of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.withColumnRenamed("m", "b"))
+        large = written(large)
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, down, ["a"], "n").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = written(small.where("a != b").distinct())
     else:
         raise RuntimeError(f"no stars after {max_rounds} rounds")

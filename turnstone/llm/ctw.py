@@ -8,11 +8,14 @@ estimate with its children's, at every depth, by how well each would have coded
 the training texts; the weights so found mix the predictions for every text.
 
 Counts stay distributed.  A block of documents sends its distinct (context,
-byte) keys with their training counts to the buckets of their last two bytes; a
-bucket thus owns whole subtrees below depth two.  What the buckets add to depth
-one and the root, 65,280 nodes at most, is summed and sent back to all buckets,
-and each block gets one log-probability for each of its keys.  A word-count
-baseline goes through the same exchange.
+byte) keys with their training counts to the buckets of the last two bytes and a
+part, by hash, of the third; a bucket thus owns whole subtrees from depth three
+on, and a frequent pair of bytes is spread over PARTS buckets.  What the buckets
+add to the nodes of depth two is summed, then that of depth one and the root
+(65,280 nodes at most, sent to all); how these three levels mix into a prediction
+comes back to the buckets that have the depth-two node, as two numbers, and each
+block gets one log-probability for each of its keys.  A word-count baseline goes
+through the same exchange.
 
 Results on odd input: a null or empty text is an end mark alone (n_tokens 1);
 texts are taken whole; a null doc_id counts as training text with the checksum of
@@ -41,7 +44,8 @@ BLOCK_ROWS = 30_000
 BUCKET_KEYS = 1_500_000
 ASK = "bucket int, block int, kind int, keys binary, counts binary"
 ANSWER = "block int, kind int, bucket int, values binary"
-NODES = "byte int, node int, n0 long, n1 long, below double"
+NODES = "node int, bucket int, n0 long, n1 long, below double"
+PARTS = 8
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 GRAMS, WORDS = 0, 1
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -50,14 +54,14 @@ END_WORD = 1
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """One byte each, and four more for those of 255 and over."""
+    """One byte each, and eight more for those of 255 and over."""
     large = counts >= 255
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype("<u4").tobytes()
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
     counts = np.frombuffer(blob, np.uint8, count=n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(blob, "<u4", offset=n)
+    counts[counts == 255] = np.frombuffer(blob, "<u8", offset=n)
     return counts
 
 
@@ -131,8 +135,9 @@ class Block:
 
 
 def gram_bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Each key's bucket, by the two bytes before."""
-    return (X.mix((grams >> np.uint64(8 * (DEPTH - 1))) + np.uint64(1)) % np.uint64(buckets)).astype(np.uint16)
+    """Each key's bucket, by the two bytes before and a part of the third."""
+    pair, third = grams >> np.uint64(8 * (DEPTH - 1)), grams >> np.uint64(8 * (DEPTH - 2)) & np.uint64(255)
+    return (X.mix((pair << np.uint64(8) | X.mix(third + np.uint64(1)) % np.uint64(PARTS)) + np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
 
 
 class Trees:
@@ -142,7 +147,7 @@ class Trees:
         self.grams, self.counts = grams, counts
 
     def level(self, j: int):
-        """For the decisions on bit j: depths DEPTH to 2 as (key, n0, n1, log KT, log weighted), and each depth's parents in the next; then each gram's deepest node and bit."""
+        """For the decisions on bit j: depths DEPTH to 3 as (key, n0, n1, log KT, log weighted), and each depth's parents in the next; then each gram's deepest node and bit."""
         byte = self.grams & np.uint64(255)
         bit = (byte >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64)
         key = (self.grams >> np.uint64(8) << np.uint64(8)) | (byte >> np.uint64(8 - j) if j else np.uint64(0))
@@ -153,7 +158,7 @@ class Trees:
         key = key[start]
         kt = log_kt(n0, n1)
         depths, parents = [(key, n0, n1, kt, kt)], []
-        for _ in range(DEPTH - 2):
+        for _ in range(DEPTH - 3):
             key, n0, n1, _, weighted = depths[-1]
             up, which = np.unique((key >> np.uint64(16) << np.uint64(8)) | (key & np.uint64(255)), return_inverse=True)
             n0, n1, below = (np.bincount(which, v, len(up)) for v in (n0, n1, weighted))
@@ -164,18 +169,17 @@ class Trees:
         return depths, parents, at, bit
 
     def tops(self):
-        """What this bucket adds to the nodes of depth one: byte, node, n0, n1, sum of weighted log-probabilities below."""
+        """What this bucket adds to the nodes of depth two (the pair of bytes, then the decision): node, n0, n1, sum of weighted log-probabilities below."""
         found = []
         for j in range(8):
             key, n0, n1, _, weighted = self.level(j)[0][-1]
             node = (np.uint64(1) << np.uint64(j)) | (key & np.uint64(255))
             up, which = np.unique((key >> np.uint64(16) << np.uint64(8)) | node, return_inverse=True)
-            found.append(((up >> np.uint64(8)).astype(np.int32), (up & np.uint64(255)).astype(np.int32), *(np.bincount(which, v, len(up)) for v in (n0, n1, weighted))))
+            found.append((up.astype(np.int32), *(np.bincount(which, v, len(up)) for v in (n0, n1, weighted))))
         return [np.concatenate(v) for v in zip(*found)]
 
-    def log10(self, top: tuple) -> np.ndarray:
-        """Each gram's log-probability; top: the shares and predictions of depth one by (byte, node) and of the root by node."""
-        share1, one1, share0, one0 = top
+    def log10(self, nodes: np.ndarray, add: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Each gram's log-probability; nodes: those of depth two, sorted, and how they and those above turn a prediction from below into the final one: add + times * it."""
         out = np.zeros(len(self.grams))
         for j in range(8):
             depths, parents, at, bit = self.level(j)
@@ -185,28 +189,46 @@ class Trees:
                 which = parent if which is None else parent[which]
                 share = np.exp(np.minimum(0, kt - math.log(2) - weighted))[which]
                 one = share * ((n1 + 0.5) / (n0 + n1 + 1))[which] + (1 - share) * one
-            node = ((np.uint64(1) << np.uint64(j)) | (key & np.uint64(255))).astype(np.int64)
-            last = (key >> np.uint64(8 * DEPTH)).astype(np.int64)
-            one = share1[last, node] * one1[last, node] + (1 - share1[last, node]) * one
-            one = share0[node] * one0[node] + (1 - share0[node]) * one
+            node = (key >> np.uint64(8 * (DEPTH - 2)) & ~np.uint64(255)) | (np.uint64(1) << np.uint64(j)) | (key & np.uint64(255))
+            top = np.searchsorted(nodes, node.astype(np.int64))
+            one = add[top] + times[top] * one
             out += np.log10(np.where(bit == 1, one[at], 1 - one[at]))
         return out
 
 
-def top_nodes(rows) -> tuple:
-    """Shares and predictions of the nodes at depth one and the root, from their summed counts."""
-    n0, n1, below = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64), np.zeros((256, 256))
-    for r in rows:
-        n0[r["byte"], r["node"]], n1[r["byte"], r["node"]], below[r["byte"], r["node"]] = r["n0"], r["n1"], r["below"]
+def weighed(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """nodes with share, of the own estimate in the mixture, one, that estimate, and weighted, the log-probability of the mixture."""
 
-    def node(n0, n1, below):
-        kt = log_kt(n0, n1)
-        weighted = np.logaddexp(kt, below) - math.log(2)
-        return np.exp(np.minimum(0, kt - math.log(2) - weighted)), (n1 + 0.5) / (n0 + n1 + 1), weighted
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n0, n1, below = (batch.column(c).to_numpy() for c in ("n0", "n1", "below"))
+            kt = log_kt(n0, n1)
+            weighted = np.logaddexp(kt, below) - math.log(2)
+            share, one = np.exp(np.minimum(0, kt - math.log(2) - weighted)), (n1 + 0.5) / (n0 + n1 + 1)
+            kept = [batch.column(c) for c in (*columns, "n0", "n1")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(share), pa.array(one), pa.array(weighted)], names=[*columns, "n0", "n1", "share", "one", "weighted"])
+
+    return nodes.select(*columns, "n0", "n1", "below").mapInArrow(each, f"{', '.join(c + ' int' for c in columns)}, n0 long, n1 long, share double, one double, weighted double")
+
+
+def mixtures(tops: DataFrame) -> DataFrame:
+    """bucket, node, add and times for each row of tops (NODES): how depth two, depth one and the root mix with what is below."""
+
+    def summed(rows: DataFrame, by: list[str], below: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(below).alias("below"))
 
-    share1, one1, weighted1 = node(n0, n1, below)
-    share0, one0, _ = node(n0.sum(0), n1.sum(0), weighted1.sum(0))
-    return share1, one1, share0, one0
+    two = weighed(summed(tops, ["node"], "below"), ["node"])
+    decision, pair = F.col("node").bitwiseAND(255), F.shiftright("node", 16)
+    one = weighed(summed(two.select(pair.alias("byte"), decision.alias("decision"), "n0", "n1", "weighted"), ["byte", "decision"], "weighted"), ["byte", "decision"])
+    root = weighed(summed(one, ["decision"], "weighted"), ["decision"])
+    high = one.alias("x").join(F.broadcast(root.alias("y")), "decision").select(
+        "byte", "decision", (F.col("y.share") * F.col("y.one") + (1 - F.col("y.share")) * F.col("x.share") * F.col("x.one")).alias("a"), ((1 - F.col("y.share")) * (1 - F.col("x.share"))).alias("b"),
+    )  # 65,280 rows at most
+    whole = two.withColumns({"byte": pair, "decision": decision}).join(F.broadcast(high), ["byte", "decision"])
+    mixed = whole.select("node", (F.col("a") + F.col("b") * F.col("share") * F.col("one")).alias("add"), (F.col("b") * (1 - F.col("share"))).alias("times"))
+    return tops.select("bucket", "node").join(mixed, "node")
 
 
 def merged(asked):
@@ -270,15 +292,16 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
     def tops(asked):
         import pyarrow as pa
 
-        asked = of_kind(asked, GRAMS)
-        found = Trees(*merged(asked)[1:]).tops() if asked.num_rows else [np.zeros(0)] * 5
-        return pa.table({n: pa.array(v, t) for n, v, t in zip(("byte", "node", "n0", "n1", "below"), (found[0], found[1], found[2].astype(np.int64), found[3].astype(np.int64), found[4]), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))})
+        number, asked = asked["bucket"][0].as_py(), of_kind(asked, GRAMS)
+        node, n0, n1, below = Trees(*merged(asked)[1:]).tops() if asked.num_rows else [np.zeros(0, np.int32)] * 4
+        return pa.table({"node": pa.array(node, pa.int32()), "bucket": pa.array([number] * len(node), pa.int32()), "n0": pa.array(n0.astype(np.int64)), "n1": pa.array(n1.astype(np.int64)), "below": pa.array(below.astype(float))})
 
     def answer(asked, top):
         import pyarrow as pa
 
         rows = []
-        top = top_nodes(top["nodes"][0].as_py() if top.num_rows else [])
+        top = top.sort_by("node")
+        mixed = [top[c].to_numpy() for c in ("node", "add", "times")]
         bucket = asked["bucket"][0].as_py() if asked.num_rows else 0
         for kind in (GRAMS, WORDS):
             part = of_kind(asked, kind)
@@ -286,9 +309,9 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
                 continue
             each, keys, counts = merged(part)
             if kind == GRAMS:
-                values, head = Trees(keys, counts).log10(top).astype("<f4"), b""
+                values, head = Trees(keys, counts).log10(mixed[0].astype(np.int64), *mixed[1:]).astype("<f4"), b""
             else:
-                values, head = counts.astype("<u4"), struct.pack("<qq", int(counts.sum()), int((counts > 0).sum()))
+                values, head = counts.astype("<u8"), struct.pack("<qq", int(counts.sum()), int((counts > 0).sum()))
             for block, k, _ in each:
                 rows.append((block, kind, bucket, head + values[np.searchsorted(keys, k)].tobytes()))
         block, kind, bucket, values = zip(*rows) if rows else ((), (), (), ())
@@ -311,7 +334,7 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
             else:
                 tokens, types = struct.unpack_from("<qq", values)
                 total, distinct = total + tokens, distinct + types
-                known[cut[i] : cut[i + 1]] = np.frombuffer(values, "<u4", offset=16)
+                known[cut[i] : cut[i + 1]] = np.frombuffer(values, "<u8", offset=16)
         lengths = np.diff(np.concatenate([block.starts, [len(block.row)]]))
         scores = np.bincount(block.row, np.repeat(logs, lengths), block.n)
         c = known[block.word_at]
@@ -325,9 +348,7 @@ def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFram
 
     blocks = dealt.groupBy("block")
     asked = blocks.applyInArrow(ask, ASK).repartition(n_buckets, "bucket")
-    nodes = asked.groupBy("bucket").applyInArrow(tops, NODES).groupBy("byte", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
-    top = nodes.agg(F.collect_list(F.struct("byte", "node", "n0", "n1", "below")).alias("nodes"))  # 65,280 at most
-    top = top.select(F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).alias("bucket"), "nodes").repartition(n_buckets, "bucket")
+    top = mixtures(asked.groupBy("bucket").applyInArrow(tops, NODES)).repartition(n_buckets, "bucket")
     answers = asked.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(answer, ANSWER).repartition(n_blocks, "block")
     return blocks.cogroup(answers.groupBy("block")).applyInArrow(finish, OUT)
 
