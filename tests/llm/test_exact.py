@@ -130,6 +130,13 @@ def test_trie_join_finds_all_pairs():
         assert {tuple(sorted(p)) for p in found} == set(zip(at[near].tolist(), to[near].tolist())) and near.any()
 
 
+def test_op9_many_automata(spark):
+    docs, bench = B.frame(spark, [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 and a short item")]), spark.createDataFrame(BENCHMARK, "item_id long, text string")
+    one, many = (decontam.find_benchmarks(docs, bench, pattern_bytes=n).first() for n in (1 << 20, 1))
+    assert one == many and len(one["spans"]) == 2
+    assert len(decontam.automata(docs, bench, 8, 1)) > 5 and len(decontam.automata(docs, bench, 8, 1 << 20)) == 1
+
+
 BENCHMARK = [(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (2, "W2, w3; w4 w5 w6 w7 w8 w9"), (3, "short item"), (4, None), (5, " .. "), (None, "a b c"), (10, "same same same same same same same same"), (6, "short item"), (7, "ünï çödé")]
 
 

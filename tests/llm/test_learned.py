@@ -59,12 +59,19 @@ def survivors(rows):
     return sorted(set(B.smallest([k for k, _ in rows], of)))
 
 
+def survivors_of_rows(rows):
+    """The doc_ids of the rows that stay, where ids repeat: one row of each group, one with the smallest id."""
+    prints, sets = [B.fingerprint(t, 4) for _, t in rows], [B.shingles(t, 5) for _, t in rows]
+    of = B.roots(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4 or B.jaccard(sets[i], sets[j]) >= 0.8)
+    return sorted(min(k for (k, _), r in zip(rows, of) if r == root) for root in set(of))
+
+
 def test_near_copies_by_all_pairs(spark):
     rows = [r for r in ROWS if r[0] is not None]
     docs = B.frame(spark, ROWS)
     kept = near.remove_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == survivors(rows)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == survivors_of_rows(rows)
     assert kept.where("doc_id IS NULL").count() == 2
     assert near.remove_near_copies(docs.limit(0)).count() == 0
 
@@ -150,3 +157,16 @@ def test_queries_match_sql(spark, duck, name):
     from conftest import same
 
     same(registry.queries()[name](spark, DATA), duck.sql(registry.oracle_sql()[name]))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    rng = random.Random(77)
+    rows = []
+    for i in range(12):  # the original shares its id with an unrelated text
+        base = B.text(rng, 120).split()
+        other = list(base)
+        other[60] = "changed"
+        rows += [(i, B.text(rng, 100, 10**6)), (i, " ".join(base)), (100 + i, " ".join(other))]
+    rows += [(500, "one unrelated text of some words"), (500, "and quite another one with other words"), (500, "and quite another one with other words")]
+    kept = sorted((r["doc_id"], r["text"]) for r in near.remove_near_copies(B.frame(spark, rows)).collect())
+    assert kept == sorted({r for r in rows if r[0] < 100 or r[0] == 500})

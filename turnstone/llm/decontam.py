@@ -5,8 +5,10 @@ lower-case words with one space around each, are the patterns of one automaton.
 Each document is normalised the same way and scanned once; where it matches,
 word numbers lead back to byte offsets in the original text.
 
-The automaton goes to every executor, so its patterns are counted first: beyond
-PATTERN_BYTES the same windows are matched by a shuffled join instead.
+The automaton goes to every executor.  Patterns of more than PATTERN_BYTES are
+cut, whole items at a time, into several automata, each of that size or one item
+at most.  A text is scanned by each of them, one automaton at a time in a worker,
+and the hits of all are put together.
 
 Results on odd input: null texts have no words, in documents and items; an item
 without words matches nothing; items with a null item_id are left out; items of
@@ -23,11 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache, written
+from .common import table, worker_cache
 
 WINDOW = 8
 MIN_ITEMS = 2
-PATTERN_BYTES = 8 << 20  # a worker's automaton takes up to some 80 bytes for each
+PATTERN_BYTES = 8 << 20  # of an automaton, a megabyte of item texts or so; a worker takes up to some 80 bytes for each
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 SPANS = "spans array<struct<start: int, end: int>>"
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -42,7 +44,7 @@ def windows(words: list[bytes], window: int) -> list[bytes]:
 
 
 class Scanner:
-    def __init__(self, patterns: dict[bytes, tuple[int, ...]], names: list[str], window: int):
+    def __init__(self, patterns: dict[bytes, tuple[int, ...]], names: list[str]):
         import ahocorasick
 
         self.names, self.automaton = names, ahocorasick.Automaton()
@@ -51,80 +53,116 @@ class Scanner:
         if patterns:
             self.automaton.make_automaton()
 
-    def scan(self, text: str | None):
-        """Number of words, number of hit words, names of the items found, byte spans of hit runs in the text."""
-        clean = (text or "").encode().translate(NORMAL)
-        words = clean.split()
+    def find(self, text: str | None):
+        """Where windows end (word numbers, one past), their words, and the items found."""
+        words = normal_words(text)
         if not words or not len(self.automaton):
-            return len(words), 0, [], []
+            return [], [], []
         found = list(self.automaton.iter(f" {b' '.join(words).decode('latin-1')} "))
         if not found:
-            return len(words), 0, [], []
-        ends = np.cumsum([1 + len(w) for w in words])  # where each word's closing space stands
-        change, items = np.zeros(len(words) + 1, np.int64), set()
-        for end, (n, these) in found:
-            last = int(np.searchsorted(ends, end)) + 1
-            change[last - n] += 1
-            change[last] -= 1
-            items.update(these)
-        hit = np.cumsum(change[:-1]) > 0
-        letters = np.frombuffer(clean, np.uint8) != 32
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], letters.view(np.int8), [0]])))
-        runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        spans = [{"start": int(edges[2 * a]), "end": int(edges[2 * b - 1])} for a, b in zip(runs[::2], runs[1::2])]
-        return len(words), int(hit.sum()), sorted({self.names[i] for i in items}), spans
+            return [], [], []
+        closing = np.cumsum([1 + len(w) for w in words])  # where each word's last space stands
+        ends = np.searchsorted(closing, [end for end, _ in found]) + 1
+        return ends.tolist(), [n for _, (n, _) in found], sorted({self.names[i] for _, (_, these) in found for i in these})
+
+
+def spans_of(text: str | None, ends: list[int], sizes: list[int]):
+    """Number of words, number of hit words, byte spans of hit runs in the text."""
+    clean = (text or "").encode().translate(NORMAL)
+    letters = np.frombuffer(clean, np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], letters.view(np.int8), [0]])))
+    n = len(edges) // 2
+    if not ends:
+        return n, 0, []
+    change, last = np.zeros(n + 1, np.int64), np.array(ends)
+    np.add.at(change, last - np.array(sizes), 1)
+    np.add.at(change, last, -1)
+    hit = np.cumsum(change[:-1]) > 0
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return n, int(hit.sum()), [{"start": int(edges[2 * a]), "end": int(edges[2 * b - 1])} for a, b in zip(runs[::2], runs[1::2])]
 
 
 def find_benchmarks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """The columns of OUT for each document, item_ids (sorted as strings) and spans, byte ranges of the original text (null beyond pattern_bytes)."""
-    scanner = scanners(docs, benchmark, window, pattern_bytes)
-    if scanner is None:
-        return by_join(docs.select("doc_id", "text"), benchmark, window, min_items)
+    """The columns of OUT for each document, item_ids (sorted as strings) and spans, byte ranges of the original text."""
+    scanners = automata(docs, benchmark, window, pattern_bytes)
 
     def search(batches):
         import pyarrow as pa
 
-        scan = scanner()
         for batch in batches:
-            found = [scan(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("text").to_pylist()
+            found = scanned(texts, scanners)
+            rows = [(*spans_of(t, ends, sizes), sorted(items)) for t, (ends, sizes, items) in zip(texts, found)]
             columns = {
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
-                "n_words": pa.array([f[0] for f in found], pa.int64()),
-                "n_hit": pa.array([f[1] for f in found], pa.int64()),
-                "n_items": pa.array([len(f[2]) for f in found], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(f[2]).encode()).hexdigest() for f in found], pa.string()),
-                "contaminated": pa.array([len(f[2]) >= min_items for f in found], pa.bool_()),
-                "item_ids": pa.array([f[2] for f in found], pa.list_(pa.string())),
-                "spans": pa.array([f[3] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                "n_words": pa.array([r[0] for r in rows], pa.int64()),
+                "n_hit": pa.array([r[1] for r in rows], pa.int64()),
+                "n_items": pa.array([len(r[3]) for r in rows], pa.int64()),
+                "items_sha256": pa.array([hashlib.sha256(",".join(r[3]).encode()).hexdigest() for r in rows], pa.string()),
+                "contaminated": pa.array([len(r[3]) >= min_items for r in rows], pa.bool_()),
+                "item_ids": pa.array([r[3] for r in rows], pa.list_(pa.string())),
+                "spans": pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select("doc_id", "text").mapInArrow(search, f"{OUT}, item_ids array<string>, {SPANS}")
 
 
-def scanners(docs: DataFrame, benchmark: DataFrame, window: int, pattern_bytes: int):
-    """What gives the worker's scan function, built once a worker; None if the patterns are too large to send to all."""
-    items = named(benchmark)
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first()["b"] or 0
-    if size * window > pattern_bytes:
-        return None
-    rows = [(r["item_id"], windows(normal_words(r["text"]), window)) for r in items.collect()]
-    names = sorted({n for n, _ in rows})
-    number = {n: i for i, n in enumerate(names)}
-    patterns: dict[bytes, set[int]] = {}
-    for name, ws in rows:
-        for w in ws:
-            patterns.setdefault(w, set()).add(number[name])
-    key = hashlib.sha256(repr((names, sorted((p, sorted(i)) for p, i in patterns.items()))).encode()).hexdigest()
-    held = docs.sparkSession.sparkContext.broadcast(({p: tuple(i) for p, i in patterns.items()}, names))
+def scanned(texts: list, scanners) -> list:
+    """Ends, sizes and item names found in each text by all automata, one after the other."""
+    out = [([], [], set()) for _ in texts]
+    for i in range(len(scanners)):
+        scanner = scanners.get(i)
+        for (ends, sizes, items), text in zip(out, texts):
+            e, n, names = scanner.find(text)
+            ends += e
+            sizes += n
+            items.update(names)
+    return out
+
+
+class Automata:
+    """Bounded automata by number; a worker builds one when it needs it, and keeps the last."""
+
+    def __init__(self, parts: list, keys: list[str]):
+        self.parts, self.keys = parts, keys
+
+    def __len__(self) -> int:
+        return len(self.parts)
 
-    def scanner():
+    def get(self, i: int) -> Scanner:
         cache = worker_cache()
-        if cache.get("decontam", (None,))[0] != key:
-            cache["decontam"] = (key, Scanner(*held.value, window))
-        return cache["decontam"][1].scan
+        if cache.get("decontam", (None,))[0] != self.keys[i]:
+            cache["decontam"] = (self.keys[i], Scanner(*self.parts[i].value))
+        return cache["decontam"][1]
 
-    return scanner
+
+def automata(docs: DataFrame, benchmark: DataFrame, window: int, pattern_bytes: int) -> Automata:
+    """The benchmark's windows as automata of bounded size.  The items pass the driver one by one; it holds one automaton's patterns at a time."""
+    context, parts, keys = docs.sparkSession.sparkContext, [], []
+    patterns: dict[bytes, set[int]] = {}
+    names: list[str] = []
+    size = 0
+
+    def close():
+        nonlocal patterns, names, size
+        frozen = {p: tuple(sorted(i)) for p, i in sorted(patterns.items())}
+        keys.append(hashlib.sha256(repr((names, frozen)).encode()).hexdigest())
+        parts.append(context.broadcast((frozen, names)))
+        patterns, names, size = {}, [], 0
+
+    for r in named(benchmark).orderBy("item_id").toLocalIterator():
+        found = windows(normal_words(r["text"]), window)
+        more = sum(map(len, found))
+        if names and size + more > pattern_bytes:
+            close()
+        names.append(r["item_id"])
+        size += more
+        for w in found:
+            patterns.setdefault(w, set()).add(len(names) - 1)
+    if names:
+        close()
+    return Automata(parts, keys)
 
 
 def named(benchmark: DataFrame) -> DataFrame:
@@ -133,53 +171,17 @@ def named(benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """The rows of docs with windows of fewer than min_items items; all columns go through as they are."""
-    scanner = scanners(docs, benchmark, window, pattern_bytes)
-    if scanner is None:
-        row = "row" + "_" * max(map(len, docs.columns))  # no column of docs
-        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
-        found = by_join(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, window, min_items)
-        return numbered.join(found.where("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+    scanners = automata(docs, benchmark, window, pattern_bytes)
 
     @F.arrow_udf("int")
     def items(text):
         import pyarrow as pa
 
-        scan = scanner()
-        return pa.array([len(scan(t.as_py())[2]) for t in text], pa.int32())
+        return pa.array([len(found[2]) for found in scanned(text.to_pylist(), scanners)], pa.int32())
 
     return docs.where(items(F.col("text")) < min_items)
 
 
-def by_join(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int) -> DataFrame:
-    """The same for a benchmark of any size: windows are shuffled by their hash and joined; equal windows of many documents cost a row each, never a product."""
-
-    def cut(column):
-        lower = F.translate(F.coalesce(column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
-
-    def shingles(df, sizes):
-        sized = df.join(F.broadcast(sizes), F.col("n") <= F.size("ws"))  # at most `window` sizes
-        starts = F.sequence(F.lit(0), F.size("ws") - F.col("n"))
-        return sized.select("*", F.explode(starts).alias("i")).withColumn("h", F.xxhash64(F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " "))).withColumn("w", F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " "))
-
-    spark, items = docs.sparkSession, named(benchmark)
-    source = written(docs.withColumn("rid", F.monotonically_increasing_id()))
-    worded = source.select("rid", cut(F.col("text")).alias("ws"))
-    item_words = items.select("item_id", cut(F.col("text")).alias("ws")).where(F.size("ws") > 0).withColumn("n", F.least(F.size("ws"), F.lit(window)))
-    patterns = item_words.select("item_id", "n", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("n"))).alias("i")).select("item_id", "n", F.array_join(F.slice("ws", F.col("i") + 1, F.col("n")), " ").alias("w")).distinct()
-    grouped = patterns.groupBy("w").agg(F.collect_set("item_id").alias("ids"))
-    hits = shingles(worded, spark.range(1, window + 1).select(F.col("id").cast("int").alias("n"))).drop("ws").join(grouped, "w")
-    words = hits.select("rid", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("j")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
-    ids = hits.select("rid", F.explode("ids").alias("item")).distinct().groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    none = F.array().cast("array<string>")
-    joined = source.join(worded.select("rid", F.size("ws").cast("long").alias("n_words")), "rid", "left").join(words, "rid", "left").join(ids, "rid", "left")
-    joined = joined.withColumn("item_ids", F.coalesce("item_ids", none)).withColumn("n_items", F.size("item_ids").cast("long"))
-    return joined.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "n_items",
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_items") >= min_items).alias("contaminated"), "item_ids", F.lit(None).cast("array<struct<start: int, end: int>>").alias("spans"),
-    )
-
-
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_benchmarks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids", "spans")
 

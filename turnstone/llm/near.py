@@ -26,7 +26,9 @@ SIMILARITY at least are linked; one of each linked group stays.
 
 Results on odd input: null and empty texts have no shingles and are one class;
 texts of fewer words than a shingle have one shingle; rows that repeat a doc_id
-are each compared; rows of a null doc_id stay.
+are each compared, and stay or go by their own text (of rows alike in both, one
+stays); rows of a null doc_id stay.  Equal texts and shingle sets are told by 128
+bits of hash.
 """
 
 from __future__ import annotations
@@ -38,10 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import parts, written
+from .common import parts, spread_join, written
 from .components import components
-from .simhash import Stars
-from .simhash import near_components as simhash_components
+from .simhash import DISTANCE, Stars, fingerprint, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,6 +53,7 @@ CHECK, LOOSE = 128, 40  # at similarity 0.8 19.5 bits differ, five deviations mo
 STEP = 64  # sketches turned at a time
 PIECE = 400
 TASK_ENTRIES = 100_000
+UNIT = ["doc_id", "t0", "t1"]  # a document: its id and its text
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -102,7 +104,7 @@ def most_shingles(similarity: float) -> int:
 
 
 def prints(docs: DataFrame, shingle: int, bits: int, bands: int, similarity: float) -> DataFrame:
-    """doc_id, the 128-bit hash of its shingle set (k0, k1), its CHECK bits (c0, c1) and its bands' bits (null for fewer than FEW shingles), and the shingles themselves where they are few."""
+    """Of each row doc_id, two hashes of the text (t0, t1), the fingerprint of operator 8 (fp), the 128-bit hash of its shingle set (k0, k1), its CHECK bits (c0, c1) and its bands' bits (null for fewer than FEW shingles), and the shingles themselves where they are few."""
     most = most_shingles(similarity)
 
     def each(batches):
@@ -110,7 +112,7 @@ def prints(docs: DataFrame, shingle: int, bits: int, bands: int, similarity: flo
         import xxhash
 
         for batch in batches:
-            texts, rows, coded, few = batch.column("text"), np.zeros((batch.num_rows, 4), np.uint64), [None] * batch.num_rows, []
+            texts, rows, coded, few = batch.column("text"), np.zeros((batch.num_rows, 5), np.uint64), [None] * batch.num_rows, []
             for at in range(0, batch.num_rows, STEP):
                 held, wide = [], []
                 for i, text in enumerate(texts[at : at + STEP]):
@@ -118,18 +120,19 @@ def prints(docs: DataFrame, shingle: int, bits: int, bands: int, similarity: flo
                     key = xxhash.xxh3_128_intdigest(hashes.tobytes())
                     rows[at + i, 0], rows[at + i, 1] = key >> 64, key & (2**64 - 1)
                     few.append(hashes.view(np.int64) if len(hashes) <= most else None)
+                    rows[at + i, 4] = fingerprint(text.as_py())
                     if len(hashes) >= FEW:
                         held.append(sketch(hashes))
                         wide.append(at + i)
                 if held:
                     bit = signs(np.stack(held), CHECK + bits * bands)
-                    rows[wide, 2:] = np.packbits(bit[:, :CHECK], axis=1).view("<u8")
+                    rows[wide, 2:4] = np.packbits(bit[:, :CHECK], axis=1).view("<u8")
                     for i, v in zip(wide, np.packbits(bit[:, CHECK:], axis=1)):
                         coded[i] = v.tobytes()
             signed = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(signed[:, k].copy()) for k in range(4)), pa.array(coded, pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "k0", "k1", "c0", "c1", "bands", "few"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in UNIT), *(pa.array(signed[:, k].copy()) for k in range(5)), pa.array(coded, pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=[*UNIT, "k0", "k1", "c0", "c1", "fp", "bands", "few"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, k0 long, k1 long, c0 long, c1 long, bands binary, few array<long>")
+    return docs.select(*UNIT, "text").mapInArrow(each, "doc_id long, t0 long, t1 long, k0 long, k1 long, c0 long, c1 long, fp long, bands binary, few array<long>")
 
 
 def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
@@ -203,7 +206,7 @@ def chunks(sizes: np.ndarray, most: int) -> list[slice]:
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """cid and hashes, the shingle set, of members (cid): that of the first document with it."""
+    """cid and hashes, the shingle set, of members (cid, and a document of the class)."""
 
     def sets(batches):
         import pyarrow as pa
@@ -212,7 +215,7 @@ def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
             hashes = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(hashes, pa.binary())], names=["cid", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(members.select("cid").distinct(), "cid")
+    texts = docs.join(members.select("cid", *UNIT).dropDuplicates(["cid"]), UNIT).select("cid", "text")
     return texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary")
 
 
@@ -280,7 +283,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
     return moved, root[moved]
 
 
-def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def tight_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links (a, b) that join up all classes (cid, comp; a cid can be in several) of like comp with the similarity, in the three rounds of step 3."""
 
     def joined(links: DataFrame, of: DataFrame) -> DataFrame:
@@ -288,7 +291,7 @@ def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: i
         found = components(links).select(F.col("node").alias("cid"), F.col("component").alias("group"))
         return written(of.join(found, "cid", "left").withColumn("group", F.coalesce("group", "cid")))
 
-    sets = written(shingle_sets(docs, loose, shingle))
+    sets = written(shingle_sets(docs, classes.select("cid", *UNIT).join(loose.select("cid").distinct(), "cid"), shingle))
     sizes = loose.groupBy("comp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     members = written(loose.join(sizes, "comp"))
     inside = written(exact_links(sets, members.withColumn("spots", F.array(spot(piece("pieces"), piece("pieces")))).select("cid", "comp", "spots"), similarity))
@@ -311,29 +314,57 @@ def tight_links(docs: DataFrame, loose: DataFrame, similarity: float, shingle: i
     return both.unionByName(exact_links(sets, left.select("cid", "comp", spots.alias("spots")), similarity))
 
 
-def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable by links, for each row with a doc_id."""
-    docs = docs.where("doc_id IS NOT NULL")
+def units(docs: DataFrame) -> DataFrame:
+    """docs (those with a doc_id) with a number for each different text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit(0), text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"))
+
+
+def compared(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of units: their prints, the classes of equal shingle sets (cid, k0, k1, n) and links (a, b) that join up all classes with the similarity."""
     n = docs.count()
     bits, bands = plan(n, similarity, MISS)
     found = written(prints(docs, shingle, bits, bands, similarity))
-    classes = found.groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "c0", "c1", "bands", "few")).alias("first")).select("k0", "k1", F.col("first.doc_id").alias("cid"), "first.c0", "first.c1", "first.bands", "first.few")
-    classes = written(classes)
+    first = F.min(F.struct(*UNIT, "c0", "c1", "bands", "few")).alias("first")
+    classes = found.groupBy("k0", "k1").agg(first, F.count("*").alias("n")).select("k0", "k1", "n", "first.*")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     loose = components(written(loose_links(classes.where("bands IS NOT NULL"), n, bits, bands))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
     loose = loose.unionByName(rare_groups(classes, similarity))
-    joined = components(written(tight_links(docs, written(loose), similarity, shingle)))
-    placed = classes.join(joined, F.col("cid") == F.col("node"), "left").select("k0", "k1", F.coalesce("component", "cid").alias("component_id"))
-    return found.join(placed, ["k0", "k1"]).select("doc_id", "component_id")
+    return found, classes.select("cid", "k0", "k1", "n"), written(tight_links(docs, classes, written(loose), similarity, shingle))
+
+
+def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable by links, for each row with a doc_id."""
+    found, classes, links = compared(units(docs), similarity, shingle)
+    placed = classes.join(components(links), F.col("cid") == F.col("node"), "left").select("k0", "k1", "n", F.coalesce("component", "cid").alias("component"))
+    known = spread_join(found.select("doc_id", "k0", "k1"), written(placed), ["k0", "k1"], "n").select("doc_id", "component")
+    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return spread_join(known, least, ["component"], "n").select("doc_id", "component_id")
 
 
 def remove_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay: the smallest doc_id of each group, once.  Groups join up documents with the similarity and those that operator 8 links by its own fingerprints."""
-    alike = near_components(docs, similarity, shingle).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    near = simhash_components(docs.where("doc_id IS NOT NULL")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    links = written(alike.unionByName(near))
-    gone = components(links).where("node <> component").select(F.col("node").alias("doc_id"))
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    repeated = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left
+    """The rows of docs that stay: of each group one document with the smallest doc_id.  Groups join up documents with the similarity and those that operator 8 links by its own fingerprints."""
+    found, classes, tight = compared(units(docs), similarity, shingle)
+    # fingerprints are nodes beside the classes: numbers below zero
+    both = written(found.groupBy("k0", "k1", "fp").agg(F.count("*").alias("n")).join(classes.select("cid", "k0", "k1"), ["k0", "k1"]).select("cid", "fp"))
+    fps = written(both.groupBy("fp").agg(F.count("*").alias("m")).withColumn("fid", -F.monotonically_increasing_id() - 1))
+    alike = written(near_links(fps.select("fp"), DISTANCE))
+    ends = alike.select(F.col("a").alias("fp")).unionByName(alike.select(F.col("b").alias("fp"))).distinct()
+    used = written(fps.join(ends.withColumn("end", F.lit(True)), "fp", "left").where("m > 1 OR end").select("fp", "fid", "m"))
+    at = used.select("fp", "fid")
+    by_print = alike.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members = spread_join(both, used, ["fp"], "m").select(F.col("cid").alias("a"), F.col("fid").alias("b"))
+    joined = components(written(tight.select("a", "b").unionByName(by_print).unionByName(members)))
+    placed = classes.join(joined, F.col("cid") == F.col("node"), "left").where("component IS NOT NULL OR n > 1")
+    placed = written(placed.select("k0", "k1", "n", F.coalesce("component", "cid").alias("component")))
+    grouped = written(spread_join(found.select(*UNIT, "k0", "k1"), placed, ["k0", "k1"], "n").select(*UNIT, "component"))
+    stays = grouped.groupBy("component").agg(F.min(F.struct(*UNIT)).alias("stays"), F.count("*").alias("n"))
+    gone = written(spread_join(grouped, stays, ["component"], "n").where(F.struct(*UNIT) != F.col("stays")).select(*UNIT).distinct())
+    text, own = F.coalesce("text", F.lit("")), "_unit" + "_" * max(map(len, docs.columns))  # no column of docs
+    marked = docs.withColumn(own, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(0), text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1")))
+    left = marked.join(gone.select(F.struct(*UNIT).alias("_gone")), F.col(own) == F.col("_gone"), "left_anti")
+    twice = written(grouped.groupBy(*UNIT).agg(F.count("*").alias("n")).where("n > 1").select(F.struct(*UNIT).alias("_twice")))
+    if not twice.isEmpty():
+        one = left.join(twice, F.col(own) == F.col("_twice"), "left_semi").dropDuplicates([own])
+        left = left.join(twice, F.col(own) == F.col("_twice"), "left_anti").unionByName(one)
+    return left.select(*docs.columns)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, table, written
+from .common import parts, spread_join, table, written
 from .components import components
 
 SHINGLE = 4
@@ -200,12 +200,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def near_components(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable by links."""
     prints = written(fingerprints(docs, shingle))
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     joined = components(near_links(classes.select("fp"), distance))
-    placed = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    groups = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(groups, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    groups = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = written(spread_join(placed, groups, ["component"], "size").select("fp", "component_id", "n"))
+    return spread_join(prints, named, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
