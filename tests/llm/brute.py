@@ -52,7 +52,7 @@ def substring(rows, window):
 
 
 def suffix(rows, depth):
-    docs = sorted(((k, (t or "").encode()) for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    docs = sorted(((k, (t or "").encode()) for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1]).hexdigest()))
     seen, out = set(), []
     for key, raw in docs:
         gone = bytearray(len(raw))

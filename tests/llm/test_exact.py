@@ -167,6 +167,40 @@ def test_op10(spark):
     assert kept[5].decode() == ROWS[7][1] and kept[6] == b""
 
 
+def test_ties_with_earlier():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 3, 260).astype(np.uint8)
+    pieces = [base, rng.integers(0, 256, 200).astype(np.uint8), np.zeros(180, np.uint8), base[30:170]]
+    for cut in range(60, 100, 4):  # one head with many ends
+        pieces.append(np.concatenate([base[:cut], rng.integers(4, 9, 110 - cut).astype(np.uint8)]))
+    pieces += pieces[-3:]
+    data, starts = np.concatenate(pieces), []
+    for i, p in enumerate(pieces):
+        at = sum(map(len, pieces[:i]))
+        starts += range(at, at + len(p) - suffix.DEPTH + 1)
+    seen, expected = set(), []
+    for s in starts:
+        expected.append(bytes(data[s : s + suffix.DEPTH]) in seen)
+        seen.add(bytes(data[s : s + suffix.DEPTH]))
+    assert suffix.ties_with_earlier(data, np.array(starts)).tolist() == expected and 100 < sum(expected) < len(starts)
+
+
+def test_op10_rows_of_one_id(spark):
+    rng = random.Random(12)
+    passage = B.text(rng, 40)
+    rows = [(None if i % 2 else 7, f"{B.text(rng, 20)} {passage} {B.text(rng, 20)}" if i % 3 else "the same text " * 20) for i in range(120)]
+    got = suffix.remove_repeats(B.frame(spark, rows), block_bytes=3000)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(B.suffix(rows, 100), key=str)
+
+
+def test_op1_rows_of_one_id(spark):
+    rng = random.Random(13)
+    passage = B.text(rng, 40)
+    rows = [(None if i % 2 else 7, f"{B.text(rng, 20)} {passage} {B.text(rng, 20)}" if i % 3 else "the same text " * 20) for i in range(120)]
+    got = substring.remove_repeats(B.frame(spark, rows), 35, block_bytes=3000)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(B.substring(rows, 35), key=str)
+
+
 def test_cover_is_a_difference_cover():
     for period, cover in ((substring.PERIOD, substring.COVER), (suffix.PERIOD, suffix.COVER)):
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import buffer, table, text_bytes, written
+from .common import buffer, table
 
 DEPTH = 5  # 8 * (DEPTH + 1) bits of a key and 16 of a row number make 64
 PACKED_ROWS = 1 << 16  # blocks of more rows sort their row numbers beside the keys
@@ -245,23 +245,12 @@ def merged(asked):
     return each, keys, counts
 
 
-def deal(docs: DataFrame, n_blocks: int, block_bytes: int) -> DataFrame:
-    """docs in blocks by a hash of doc_id and text, both times alike; if equal rows would fill a block, by a hash of a written row number."""
-    key = F.xxhash64("doc_id", "text")
-    equal = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(text_bytes().cast("long")).alias("b"))
-    if not equal.where((F.col("n") > BLOCK_ROWS) | ((F.col("n") > 1) & (F.col("b") > block_bytes))).isEmpty():
-        docs = written(docs.withColumn("row", F.monotonically_increasing_id()))
-        key = F.xxhash64("row")
-    dealt = docs.withColumn("block", F.pmod(key, F.lit(n_blocks)).cast("int"))
-    return dealt.select("doc_id", "text", "held_out", "block").repartition(n_blocks, "block")
-
-
 def score(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of OUT for each of docs; held_out: a boolean column, true for rows the model doesn't learn from."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("b"), F.count("*").alias("n")).first()
     n_blocks = max(2, math.ceil((size["b"] or 0) / block_bytes), math.ceil(size["n"] / BLOCK_ROWS))
     n_buckets = max(2, math.ceil((size["b"] or 0) / 12 / BUCKET_KEYS))
-    dealt = deal(docs.select("doc_id", "text", held_out.alias("held_out")), n_blocks, block_bytes)
+    dealt = X.deal(docs.select("doc_id", "text", held_out.alias("held_out")), n_blocks, block_bytes, BLOCK_ROWS)
 
     def ask(docs):
         import pyarrow as pa

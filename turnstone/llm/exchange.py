@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_bytes, written
+
 REQUEST = "bucket int, block int, keys binary, more binary"
 REPLY = "block int, kind int, bucket int, bits binary"
 ODD = 0x9E3779B97F4A7C15
@@ -131,22 +133,56 @@ def reply(requests: DataFrame, kind: int, earlier: bool, n_blocks: int, n_bucket
     return asked.groupBy("bucket").applyInArrow(bucket, REPLY).repartition(n_blocks, "block")
 
 
-def by_hash(docs: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """docs with a column block, dealt by a hash of the key."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
+def deal(docs: DataFrame, n_blocks: int, block_bytes: int, block_rows: int = 30_000) -> DataFrame:
+    """docs (doc_id, text and more) with a column block, by a hash of doc_id and text, every time alike; if equal rows would fill a block, by a hash of a written row number."""
+    columns, key = docs.columns, F.xxhash64("doc_id", "text")
+    equal = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(text_bytes().cast("long")).alias("b"))
+    if not equal.where((F.col("n") > block_rows) | ((F.col("n") > 1) & (F.col("b") > block_bytes))).isEmpty():
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()))
+        key = F.xxhash64("row")
+    return docs.withColumn("block", F.pmod(key, F.lit(n_blocks)).cast("int")).select(*columns, "block").repartition(n_blocks, "block")
+
+
+GRAIN = 8  # cells of the order for each block
 
 
-def by_range(docs: DataFrame, key: str, n_blocks: int) -> DataFrame:
-    """docs with a column block that grows with the key, a long; null counts as the smallest.  Only the bounds of the blocks come to the driver."""
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    wanted = [i / n_blocks for i in range(1, n_blocks)]
-    found = docs.select(F.percentile_approx(at, wanted, max(10_000, 20 * n_blocks)).alias("b")).first()["b"] if wanted else []
-    bounds = np.array(sorted(set(found or [])), np.int64)
+def in_order(docs: DataFrame, n_blocks: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with tie, the text's MD5, and block, which grows with (doc_id, tie), and the number of blocks; a null doc_id counts as the smallest.
+
+    Blocks are runs of about block_bytes.  GRAIN bounds a block come to the driver, and the bytes between them."""
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    wanted = [i / (GRAIN * n_blocks) for i in range(1, GRAIN * n_blocks)]
+    found = docs.select(F.percentile_approx(at, wanted, max(10_000, 20 * n_blocks)).alias("b")).first()["b"] or []
+    often = {a for a, b in zip(found[:-1], found[1:]) if a == b}  # ids of many rows have a cell of their own
+    bounds = np.array(sorted({*found, *(x + 1 for x in often if x < 2**63 - 1)}), np.int64)
 
     @F.pandas_udf("int")
-    def block(key):
+    def cell(key):
         import pandas as pd
 
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
 
-    return docs.withColumn("block", block(at)).repartition(n_blocks, "block")
+    held = docs.select(at.alias("at"), text_bytes().cast("long").alias("b")).groupBy(cell("at").alias("cell")).agg(F.sum("b").alias("b")).collect()
+    sizes = np.zeros(len(bounds) + 1, np.int64)
+    for r in held:
+        sizes[r["cell"]] = r["b"]
+    alone = np.zeros(len(sizes), bool)
+    alone[np.searchsorted(bounds, np.array(sorted(often), np.int64), side="right")] = True
+    parts = np.where(alone, np.maximum(1, -(-sizes // block_bytes)), 1)  # a cell of one id is cut by tie
+    base, used, block = np.zeros(len(sizes), np.int64), 0, 0
+    for i in range(len(sizes)):
+        if i and (parts[i] > 1 or parts[i - 1] > 1 or used + sizes[i] > block_bytes):
+            block, used = block + int(parts[i - 1]), 0
+        base[i], used = block, used + sizes[i]
+
+    @F.pandas_udf("int")
+    def block_of(key, tie):
+        import pandas as pd
+
+        c = np.searchsorted(bounds, key.to_numpy(), side="right")
+        first = tie.str.slice(0, 8).map(lambda x: int(x, 16)).to_numpy(np.int64) if len(tie) else np.zeros(0, np.int64)
+        return pd.Series((base[c] + (first * parts[c] >> 32)).astype(np.int32))
+
+    n = int(base[-1] + parts[-1])
+    tied = docs.withColumn("tie", F.md5(F.coalesce("text", F.lit(""))))
+    return tied.withColumn("block", block_of(at, F.col("tie"))).repartition(n, "block"), n

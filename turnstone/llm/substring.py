@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     n_blocks = max(2, math.ceil(total / block_bytes))
     n_buckets = max(2, math.ceil(total / 6 / BUCKET_KEYS))
     bits = min(64, max(32, total.bit_length() + 10))
-    dealt = X.by_hash(docs.select("doc_id", "text"), "doc_id", n_blocks)
+    dealt = X.deal(docs.select("doc_id", "text"), n_blocks, block_bytes)
 
     def ask_anchors(docs):
         words = Words(docs)

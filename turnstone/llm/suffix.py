@@ -1,27 +1,30 @@
-"""Suffix-array dedup on bytes by difference-cover blockwise sorting (operator 10).
+"""Suffix-array dedup on bytes by difference-cover blockwise construction (operator 10).
 
 Every byte that lies in a string of DEPTH bytes which also starts earlier
-(smaller doc_id, or same document and smaller offset) is removed.  Only the
-order of suffixes to DEPTH bytes matters, and only whether two of them tie, so
-the suffixes are ordered by fingerprints of their prefixes:
-
-1. Cover sample: the suffixes that begin at positions of a difference cover
-   modulo PERIOD are sorted by their first DEPTH - PERIOD + 1 bytes.  Any two
-   equal strings of DEPTH bytes share a tied pair of cover suffixes, so suffixes
-   that are not near a tied one are out of the race and are never sorted.
-2. Long ties: the cover suffixes near ties are ranked by their first LONG bytes.
-   A cover suffix that ties with an earlier one settles all suffixes within
-   those bytes; they need no sorting of their own.
-3. Buckets: what is left is sorted to DEPTH bytes, one bucket (a range of
-   fingerprints) at a time, which bounds the memory of a task.
-
-The first of each class of equal strings is never settled in step 2, since
-nothing equal starts earlier; so the rest still find it in step 3.
+(smaller doc_id, or same document and smaller offset) is removed.  So the
+suffixes are to be sorted by their first DEPTH bytes, and those that tie with one
+before them found.
+
+1. Sieve: two equal strings of DEPTH bytes share a pair of cover positions modulo
+   PERIOD, from which DEPTH - PERIOD + 1 bytes are equal too.  Suffixes not near a
+   cover position whose hash of these bytes occurs twice tie with nothing and are
+   not sorted.  (Unlike hashes prove unlike strings; like ones prove nothing here.)
+2. Buckets: what is left goes to the bucket of its minimiser, the least hash of
+   SEED bytes within its DEPTH bytes, so that equal strings share a bucket and
+   neighbours mostly do; a run of neighbours travels as one string.  A block sends
+   of strings that it holds twice, byte by byte, just the first.
+3. One bucket at a time: the suffixes at the bucket's cover positions are sorted
+   by their bytes and ranked, with the length that neighbours in this order have in
+   common.  Then all suffixes are sorted by their first HEAD bytes.  Ties that long
+   are settled by ranks: two suffixes have a shift of less than PERIOD at which both
+   are at cover positions, and the ranks there, to what is left of DEPTH bytes, tell
+   whether they are equal.  Memory is bounded by the bucket, and no equality rests
+   on a hash.
 
 Results on odd input: null and empty texts have no bytes (n_bytes 0, nothing
-removed, the hash of the empty string); rows that repeat a doc_id are ordered
-by their text; a null doc_id counts as the smallest.  Columns besides doc_id and
-text are not read.
+removed, the hash of the empty string); rows that repeat a doc_id are ordered by
+the MD5 of their text; a null doc_id counts as the smallest.  Columns besides
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +40,12 @@ from .common import buffer, table, total_bytes, worker_cache
 
 DEPTH = 100
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)  # a perfect difference set: every residue but 0 is one difference
-LONG = 200
+HEAD = 64  # at least PERIOD - 1
+SEED = 24
+ROUNDS = 4  # of settling by ranks; then by bytes
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1_500_000
+BUCKET_BYTES = 2 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -52,13 +58,12 @@ class Block:
     """A block's documents in order, as one run of bytes."""
 
     def __init__(self, docs):
-        docs = docs.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        docs = docs.combine_chunks().sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
         if docs["doc_id"].null_count:  # they sort last, but count as the smallest
+            import pyarrow as pa
             import pyarrow.compute as pc
 
             none = pc.is_null(docs["doc_id"])
-            import pyarrow as pa
-
             docs = pa.concat_tables([docs.filter(none), docs.filter(pc.invert(none))])
         self.ids, self.number = docs["doc_id"], docs["block"][0].as_py()
         self.data, self.offsets = buffer(docs["text"])
@@ -100,61 +105,188 @@ def ties(block: Block, bits: int, replies, buckets: int) -> np.ndarray:
     return block.spread(tied, PERIOD - 1, 1)
 
 
-def ranked(block: Block, at: np.ndarray, width: int):
-    """Keys of the first width bytes at ascending positions: each position's index into the distinct sorted keys, whether it is the block's first of its key, and the keys."""
-    keys, first, which = np.unique(block.roll.at(at, width), return_index=True, return_inverse=True)
-    is_first = np.zeros(len(at), bool)
-    is_first[first] = True
-    return which, is_first, keys
-
-
-def long_ties(block: Block, near: np.ndarray):
-    at = block.fits(near & block.sampled, LONG)
-    return at, *ranked(block, at, LONG)
-
+def same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+    """Whether width bytes from each left are those from its right; neighbours are compared in one go."""
+    n = len(left)
+    if not n:
+        return np.zeros(0, bool)
+    head = np.concatenate([[True], (np.diff(left) != 1) | (np.diff(right) != 1)])
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.concatenate([starts, [n]])) + width - 1
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], sizes)
+    unlike = np.concatenate([[0], np.cumsum(data[np.repeat(left[starts], sizes) + place] != data[np.repeat(right[starts], sizes) + place])])
+    first = np.repeat(at[:-1], np.diff(np.concatenate([starts, [n]]))) + np.arange(n) - np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
+    return unlike[first + width] == unlike[first]
+
+
+def minimisers(roll: X.Rolling, n: int) -> np.ndarray:
+    """For each position from which DEPTH bytes are left in the run, the least hash of SEED bytes within them."""
+    span, m = DEPTH - SEED + 1, n - SEED + 1
+    h = np.full(-(-m // span) * span, np.iinfo(np.uint64).max, np.uint64)
+    h[:m] = roll.at(np.arange(m), SEED)
+    up = np.minimum.accumulate(h.reshape(-1, span), axis=1).ravel()
+    down = np.minimum.accumulate(h.reshape(-1, span)[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = np.arange(n - DEPTH + 1)
+    return np.minimum(down[at], up[at + span - 1])
+
+
+class Asked:
+    """What a block asks: starts that tie with an earlier one of the block (own), and runs of neighbours for the buckets, in order of bucket, then place."""
+
+    def __init__(self, block: Block, near: np.ndarray, buckets: int):
+        rest = block.fits(near, DEPTH)
+        key = block.roll.at(rest, DEPTH)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        again = np.ones(len(rest), bool)
+        again[first] = False
+        again[again] = same_bytes(block.data, rest[again], rest[first[which[again]]], DEPTH)
+        self.own, sent = rest[again], rest[~again]
+        if not len(sent):
+            self.starts = self.sizes = self.bucket = np.zeros(0, np.int64)
+            return
+        to = (X.mix(minimisers(block.roll, block.n)[sent]) % np.uint64(buckets)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(sent) != 1) | (np.diff(to) != 0)]))
+        order = np.argsort(to[begin], kind="stable")
+        self.starts, self.bucket = sent[begin][order], to[begin][order]
+        self.sizes = np.diff(np.concatenate([begin, [len(sent)]]))[order]
+
+    def request(self, block: Block):
+        import pyarrow as pa
 
-def left_over(block: Block, near: np.ndarray, replies, buckets: int):
-    """Starts of long ties, and the suffixes that they leave to be sorted."""
-    at, which, first, keys = long_ties(block, near)
-    long = at[X.answered(replies, 1, len(keys), keys, buckets)[which] | ~first]
-    rest = block.fits(near & ~block.spread(long, 0, LONG - DEPTH + 1), DEPTH)
-    return long, rest, *ranked(block, rest, DEPTH)
+        ends = np.flatnonzero(np.concatenate([self.bucket[1:] != self.bucket[:-1], [True]])) + 1 if len(self.bucket) else []
+        rows, lo = [], 0
+        for hi in ends:
+            sizes = self.sizes[lo:hi] + DEPTH - 1
+            place = np.repeat(self.starts[lo:hi] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            rows.append((int(self.bucket[lo]), block.number, self.sizes[lo:hi].astype("<u4").tobytes(), block.data[place].tobytes()))
+            lo = hi
+        bucket, number, sizes, texts = zip(*rows) if rows else ((), (), (), ())
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array(number, pa.int32()), "keys": pa.array(sizes, pa.binary()), "more": pa.array(texts, pa.binary())})
+
+    def later(self, replies) -> np.ndarray:
+        """Starts of strings that also start earlier: in this block, or by the buckets' replies in another."""
+        found = [self.own]
+        for kind, bucket, bits in zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["bits"].to_pylist()):
+            if kind == 1:
+                mine = slice(*np.searchsorted(self.bucket, [bucket, bucket + 1]))
+                sizes = self.sizes[mine]
+                starts = np.repeat(self.starts[mine] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+                found.append(starts[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(starts)).view(bool)])
+        return np.concatenate(found)
+
+
+def shifts() -> np.ndarray:
+    """For each two residues the least shift that brings both to a cover position."""
+    held = np.isin(np.arange(2 * PERIOD), [c + k for c in COVER for k in (0, PERIOD)])
+    both = np.array([[held[a : a + PERIOD] & held[b : b + PERIOD] for b in range(PERIOD)] for a in range(PERIOD)])
+    return both.argmax(axis=2)
+
+
+class Sorted:
+    """A bucket's bytes: words at each place, and the cover suffixes in order with what neighbours have in common."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        wide = np.concatenate([data, np.zeros(DEPTH + 20, np.uint8)]).astype(np.uint64)
+        m = n + DEPTH + 12
+        self.words = np.zeros(m, np.uint64)
+        for k in range(8):
+            self.words |= wide[k : k + m] << np.uint64(56 - 8 * k)
+        cover = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
+        steps = range(0, DEPTH, 8)
+        order = cover[np.lexsort([self.words[cover + k] for k in reversed(steps)])]
+        self.rank = np.zeros(n, np.int32)
+        self.rank[order] = np.arange(len(order))
+        self.common = np.full(max(len(order) - 1, 0), DEPTH, np.int32)
+        open_ = np.arange(len(self.common))
+        for k in steps:
+            unlike = self.words[order[open_] + k] ^ self.words[order[open_ + 1] + k]
+            lead = sum((unlike < np.uint64(1 << (8 * b))).astype(np.int32) for b in range(1, 8))
+            done = unlike != 0
+            self.common[open_[done]] = np.minimum(k + lead[done], DEPTH)
+            open_ = open_[~done]
+
+    def tie(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes whose first HEAD bytes are equal have DEPTH bytes in common, by the ranks at their common cover position."""
+        shift, out = SHIFTS[a % PERIOD, b % PERIOD], np.zeros(len(a), bool)
+        order = np.argsort(shift, kind="stable")
+        ends = np.searchsorted(shift[order], np.arange(PERIOD + 1))
+        for d in range(PERIOD):
+            some = order[ends[d] : ends[d + 1]]
+            if len(some):
+                kind = np.concatenate([[0], np.cumsum(self.common < DEPTH - d)])
+                out[some] = kind[self.rank[a[some] + d]] == kind[self.rank[b[some] + d]]
+        return out
+
+
+def ties_with_earlier(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of the starts, in order of time, whether the DEPTH bytes there are also those at an earlier one."""
+    later = np.zeros(len(starts), bool)
+    if len(starts) < 2:
+        return later
+    held = Sorted(data)
+    order = np.lexsort([held.words[starts + k] for k in range(HEAD - 8, -1, -8)])  # stable: equal ones by time
+    at = starts[order]
+    fresh = np.concatenate([[True], np.logical_or.reduce([held.words[at[1:] + k] != held.words[at[:-1] + k] for k in range(0, HEAD, 8)])])
+    group = np.cumsum(fresh) - 1
+    for _ in range(ROUNDS):
+        if not len(order):
+            return later
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        lead = starts[order[np.flatnonzero(first)]][np.cumsum(first) - 1]
+        equal = first.copy()
+        equal[~first] = held.tie(starts[order[~first]], lead[~first])
+        later[order[equal & ~first]] = True
+        order, group = order[~equal], group[~equal]
+    if len(order):  # many strings with one head: by the bytes after it
+        keys = [np.arange(len(order)), held.words[starts[order] + DEPTH - 8], *(held.words[starts[order] + k] for k in range(DEPTH - 12 & ~7, HEAD - 8, -8)), group]
+        by = np.lexsort(keys)
+        same = np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys[1:]])
+        later[order[by[1:][same]]] = True
+    return later
+
+
+SHIFTS = shifts()
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes as kept."""
     total = total_bytes(docs)
-    n_blocks = max(2, math.ceil(total / block_bytes))
-    n_buckets = max(2, math.ceil(total * len(COVER) / PERIOD / BUCKET_KEYS))
+    dealt, n_blocks = X.in_order(docs.select("doc_id", "text"), max(2, math.ceil(total / block_bytes)), block_bytes)
+    n_sieves, n_buckets = (max(2, math.ceil(x)) for x in (total * len(COVER) / PERIOD / BUCKET_KEYS, total / BUCKET_BYTES))
     bits = min(64, max(32, total.bit_length() + 8))
-    dealt = X.by_range(docs.select("doc_id", "text"), "doc_id", n_blocks)
 
     def ask_sample(docs):
         block = Block(docs)
         _, _, keys, n = sample(block, bits)
-        return X.request(block.number, keys, n_buckets, n > 1, bits)
+        return X.request(block.number, keys, n_sieves, n > 1, bits)
 
-    def ask_long(docs, replies):
+    def ask_windows(docs, replies):
         if not docs.num_rows:
             return X.request(0, np.zeros(0, np.uint64), n_buckets)
         block = Block(docs)
-        *_, keys = long_ties(block, ties(block, bits, replies, n_buckets))
-        return X.request(block.number, keys, n_buckets)
+        return Asked(block, ties(block, bits, replies, n_sieves), n_buckets).request(block)
 
-    def ask_rest(docs, replies):
-        if not docs.num_rows:
-            return X.request(0, np.zeros(0, np.uint64), n_buckets)
-        block = Block(docs)
-        *_, keys = left_over(block, ties(block, bits, replies, n_buckets), replies, n_buckets)
-        return X.request(block.number, keys, n_buckets)
+    def sort_bucket(asked):
+        import pyarrow as pa
+
+        asked = asked.sort_by("block")
+        sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in asked["keys"].to_pylist()]
+        data = np.frombuffer(b"".join(asked["more"].to_pylist()), np.uint8)
+        runs = np.concatenate(sizes)
+        begin = np.concatenate([[0], np.cumsum(runs + DEPTH - 1)[:-1]])
+        starts = np.repeat(begin - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        later, ends = ties_with_earlier(data, starts), np.cumsum([x.sum() for x in sizes])
+        bits = [np.packbits(later[e - x.sum() : e]).tobytes() for e, x in zip(ends, sizes)]
+        n = len(sizes)
+        return pa.table({"block": asked["block"].combine_chunks(), "kind": pa.array([1] * n, pa.int32()), "bucket": asked["bucket"].combine_chunks(), "bits": pa.array(bits, pa.binary())})
 
     def finish(docs, replies):
         import pyarrow as pa
 
         block = Block(docs)
-        long, rest, which, first, keys = left_over(block, ties(block, bits, replies, n_buckets), replies, n_buckets)
-        later = rest[X.answered(replies, 2, len(keys), keys, n_buckets)[which] | ~first]
-        gone = block.spread(long, 0, LONG) | block.spread(later, 0, DEPTH)
+        gone = block.spread(Asked(block, ties(block, bits, replies, n_sieves), n_buckets).later(replies), 0, DEPTH)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         heads = block.offsets[:-1][np.diff(block.offsets) > 0]
@@ -172,11 +304,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         })
 
     blocks = dealt.groupBy("block")
-    first = X.reply(blocks.applyInArrow(ask_sample, X.REQUEST), 0, False, n_blocks, n_buckets)
-    second = X.reply(blocks.cogroup(first.groupBy("block")).applyInArrow(ask_long, X.REQUEST), 1, True, n_blocks, n_buckets)
-    known = first.unionByName(second)
-    third = X.reply(blocks.cogroup(known.groupBy("block")).applyInArrow(ask_rest, X.REQUEST), 2, True, n_blocks, n_buckets)
-    return blocks.cogroup(known.unionByName(third).groupBy("block")).applyInArrow(finish, f"{OUT}, kept binary")
+    first = X.reply(blocks.applyInArrow(ask_sample, X.REQUEST), 0, False, n_blocks, n_sieves)
+    asked = blocks.cogroup(first.groupBy("block")).applyInArrow(ask_windows, X.REQUEST).repartition(n_buckets, "bucket")
+    second = asked.groupBy("bucket").applyInArrow(sort_bucket, X.REPLY).repartition(n_blocks, "block")
+    return blocks.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(finish, f"{OUT}, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
