@@ -14,12 +14,12 @@ before them found.
    neighbours mostly do; a run of neighbours travels as one string.  A block sends
    of strings that it holds twice, byte by byte, just the first.
 3. One bucket at a time: the suffixes at the bucket's cover positions are sorted
-   by their bytes and ranked, with the length that neighbours in this order have in
-   common.  Then all suffixes are sorted by their first HEAD bytes.  Ties that long
-   are settled by ranks: two suffixes have a shift of less than PERIOD at which both
-   are at cover positions, and the ranks there, to what is left of DEPTH bytes, tell
-   whether they are equal.  Memory is bounded by the bucket, and no equality rests
-   on a hash.
+   by RANKED bytes and ranked, with the length that neighbours in this order have in
+   common.  Then the suffixes that are not alone in their hash of DEPTH bytes are
+   sorted by their first bytes.  Long ties are settled by ranks: two suffixes have a
+   shift of less than PERIOD at which both are at cover positions, and PERIOD bytes on
+   they are again, and the ranks there, to what is left of DEPTH bytes, tell whether
+   they are equal.  Memory is bounded by the bucket, and no equality rests on a hash.
 
 Results on odd input: null and empty texts have no bytes (n_bytes 0, nothing
 removed, the hash of the empty string); rows that repeat a doc_id are ordered by
@@ -40,9 +40,10 @@ from .common import buffer, table, total_bytes, worker_cache
 
 DEPTH = 100
 PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)  # a perfect difference set: every residue but 0 is one difference
-HEAD = 64  # at least PERIOD - 1
+HEAD, FIRST = 64, 16  # bytes compared directly (at least PERIOD - 1), and how many of them a bucket is sorted by
+RANKED = PERIOD - 1  # bytes that cover suffixes are sorted by
 SEED = 24
-ROUNDS = 4  # of settling by ranks; then by bytes
+ROUNDS = 12  # of settling by ranks; then by bytes
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1_500_000
 BUCKET_BYTES = 2 << 20
@@ -85,9 +86,7 @@ class Block:
 
     def spread(self, starts: np.ndarray, before: int, after: int) -> np.ndarray:
         """A mask of [start - before, start + after) around each start."""
-        near = np.zeros(self.n + 1, np.int32)
-        np.add.at(near, np.maximum(starts - before, 0), 1)
-        np.add.at(near, np.minimum(starts + after, self.n), -1)
+        near = np.bincount(np.maximum(starts - before, 0), minlength=self.n + 1) - np.bincount(np.minimum(starts + after, self.n), minlength=self.n + 1)
         return np.cumsum(near[:-1]) > 0
 
 
@@ -105,6 +104,17 @@ def ties(block: Block, bits: int, replies, buckets: int) -> np.ndarray:
     return block.spread(tied, PERIOD - 1, 1)
 
 
+def leaders(keys: np.ndarray) -> np.ndarray:
+    """The first place of each key, by as many of its bits as leave room for a place beside them: of unlike keys some share one."""
+    room = np.uint64(max(1, len(keys)).bit_length())
+    packed = np.sort(keys >> room << room | np.arange(len(keys), dtype=np.uint64))
+    at, group = (packed & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64), packed >> room
+    begin = np.concatenate([[True], group[1:] != group[:-1]])[: len(at)]
+    out = np.empty(len(keys), np.int64)
+    out[at] = at[begin][np.cumsum(begin) - 1]
+    return out
+
+
 def same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
     """Whether width bytes from each left are those from its right; neighbours are compared in one go."""
     n = len(left)
@@ -136,11 +146,9 @@ class Asked:
 
     def __init__(self, block: Block, near: np.ndarray, buckets: int):
         rest = block.fits(near, DEPTH)
-        key = block.roll.at(rest, DEPTH)
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        again = np.ones(len(rest), bool)
-        again[first] = False
-        again[again] = same_bytes(block.data, rest[again], rest[first[which[again]]], DEPTH)
+        lead = leaders(block.roll.at(rest, DEPTH))
+        again = lead < np.arange(len(rest))
+        again[again] = same_bytes(block.data, rest[again], rest[lead[again]], DEPTH)
         self.own, sent = rest[again], rest[~again]
         if not len(sent):
             self.starts = self.sizes = self.bucket = np.zeros(0, np.int64)
@@ -184,65 +192,90 @@ def shifts() -> np.ndarray:
 
 
 class Sorted:
-    """A bucket's bytes: words at each place, and the cover suffixes in order with what neighbours have in common."""
+    """A bucket's bytes: words at each place, and the cover suffixes near some starts in order with what neighbours have in common."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
         n = len(data)
         wide = np.concatenate([data, np.zeros(DEPTH + 20, np.uint8)]).astype(np.uint64)
         m = n + DEPTH + 12
-        self.words = np.zeros(m, np.uint64)
+        self.data, self.words = data, np.zeros(m, np.uint64)
         for k in range(8):
             self.words |= wide[k : k + m] << np.uint64(56 - 8 * k)
-        cover = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-        steps = range(0, DEPTH, 8)
+        near = np.bincount(starts, minlength=n + 1) - np.bincount(starts + DEPTH, minlength=n + 1)
+        cover = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER) & (np.cumsum(near[:-1]) > 0))
+        steps = range(0, RANKED, 8)
         order = cover[np.lexsort([self.words[cover + k] for k in reversed(steps)])]
         self.rank = np.zeros(n, np.int32)
         self.rank[order] = np.arange(len(order))
-        self.common = np.full(max(len(order) - 1, 0), DEPTH, np.int32)
+        self.common = np.full(max(len(order) - 1, 0), RANKED, np.int32)
         open_ = np.arange(len(self.common))
         for k in steps:
             unlike = self.words[order[open_] + k] ^ self.words[order[open_ + 1] + k]
             lead = sum((unlike < np.uint64(1 << (8 * b))).astype(np.int32) for b in range(1, 8))
             done = unlike != 0
-            self.common[open_[done]] = np.minimum(k + lead[done], DEPTH)
+            self.common[open_[done]] = k + lead[done]
             open_ = open_[~done]
 
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether suffixes whose first FIRST bytes are equal have DEPTH bytes in common: HEAD bytes directly, the rest by ranks."""
+        out = np.ones(len(a), bool)
+        for k in range(FIRST, HEAD, 8):
+            out &= self.words[a + k] == self.words[b + k]
+        some = np.flatnonzero(out)
+        out[some] = self.tie(a[some], b[some])
+        return out
+
     def tie(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffixes whose first HEAD bytes are equal have DEPTH bytes in common, by the ranks at their common cover position."""
+        """Whether suffixes whose first HEAD bytes are equal have DEPTH bytes in common, by the ranks at their common cover positions."""
         shift, out = SHIFTS[a % PERIOD, b % PERIOD], np.zeros(len(a), bool)
-        order = np.argsort(shift, kind="stable")
+        order = np.argsort(shift.astype(np.uint8), kind="stable")
         ends = np.searchsorted(shift[order], np.arange(PERIOD + 1))
         for d in range(PERIOD):
             some = order[ends[d] : ends[d + 1]]
-            if len(some):
-                kind = np.concatenate([[0], np.cumsum(self.common < DEPTH - d)])
-                out[some] = kind[self.rank[a[some] + d]] == kind[self.rank[b[some] + d]]
+            if not len(some):
+                continue
+            x, y = a[some] + d, b[some] + d
+            left = DEPTH - d
+            held = self.alike(x, y, min(left, RANKED))
+            if left > RANKED:  # the byte between two cover positions, and what is left after the second
+                held &= self.data[x + RANKED] == self.data[y + RANKED]
+                if left > PERIOD:
+                    held &= self.alike(x + PERIOD, y + PERIOD, left - PERIOD)
+            out[some] = held
         return out
 
+    def alike(self, x: np.ndarray, y: np.ndarray, depth: int) -> np.ndarray:
+        """Whether cover suffixes have depth bytes in common."""
+        kind = np.concatenate([[0], np.cumsum(self.common < depth, dtype=np.int32)])
+        return kind[self.rank[x]] == kind[self.rank[y]]
+
 
 def ties_with_earlier(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each of the starts, in order of time, whether the DEPTH bytes there are also those at an earlier one."""
     later = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return later
-    held = Sorted(data)
-    order = np.lexsort([held.words[starts + k] for k in range(HEAD - 8, -1, -8)])  # stable: equal ones by time
+    lead = leaders(X.Rolling(symbols()[data]).at(starts, DEPTH))
+    order = np.flatnonzero(np.bincount(lead, minlength=len(starts))[lead] > 1)  # the others are alone in their hash
+    if not len(order):
+        return later
+    held = Sorted(data, starts[order])
+    order = order[np.lexsort([held.words[starts[order] + k] for k in range(FIRST - 8, -1, -8)])]  # stable: equal ones by time
     at = starts[order]
-    fresh = np.concatenate([[True], np.logical_or.reduce([held.words[at[1:] + k] != held.words[at[:-1] + k] for k in range(0, HEAD, 8)])])
-    group = np.cumsum(fresh) - 1
+    group = np.cumsum(np.concatenate([[False], np.logical_or.reduce([held.words[at[1:] + k] != held.words[at[:-1] + k] for k in range(0, FIRST, 8)])]))
     for _ in range(ROUNDS):
         if not len(order):
             return later
         first = np.concatenate([[True], group[1:] != group[:-1]])
-        lead = starts[order[np.flatnonzero(first)]][np.cumsum(first) - 1]
+        ahead = starts[order[np.flatnonzero(first)]][np.cumsum(first) - 1]
         equal = first.copy()
-        equal[~first] = held.tie(starts[order[~first]], lead[~first])
+        equal[~first] = held.equal(starts[order[~first]], ahead[~first])
         later[order[equal & ~first]] = True
         order, group = order[~equal], group[~equal]
-    if len(order):  # many strings with one head: by the bytes after it
-        keys = [np.arange(len(order)), held.words[starts[order] + DEPTH - 8], *(held.words[starts[order] + k] for k in range(DEPTH - 12 & ~7, HEAD - 8, -8)), group]
+    if len(order):  # many strings with one beginning: by all bytes after it
+        keys = [held.words[starts[order] + DEPTH - 8], *(held.words[starts[order] + k] for k in range(DEPTH - 12 & ~7, FIRST - 8, -8)), group]
         by = np.lexsort(keys)
-        same = np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys[1:]])
+        same = np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys])
         later[order[by[1:][same]]] = True
     return later
 
