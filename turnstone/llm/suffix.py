@@ -43,7 +43,7 @@ PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)  # a perfect difference set: e
 HEAD, FIRST = 64, 16  # bytes compared directly (at least PERIOD - 1), and how many of them a bucket is sorted by
 RANKED = PERIOD - 1  # bytes that cover suffixes are sorted by
 SEED = 24
-ROUNDS = 12  # of settling by ranks; then by bytes
+ROUNDS = 4  # of settling by ranks; then by bytes
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1_500_000
 BUCKET_BYTES = 2 << 20
@@ -130,14 +130,13 @@ def same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, width: int
     return unlike[first + width] == unlike[first]
 
 
-def minimisers(roll: X.Rolling, n: int) -> np.ndarray:
-    """For each position from which DEPTH bytes are left in the run, the least hash of SEED bytes within them."""
+def minimisers(roll: X.Rolling, n: int, at: np.ndarray) -> np.ndarray:
+    """The least hash of SEED bytes within the DEPTH bytes from each of the places at."""
     span, m = DEPTH - SEED + 1, n - SEED + 1
     h = np.full(-(-m // span) * span, np.iinfo(np.uint64).max, np.uint64)
-    h[:m] = roll.at(np.arange(m), SEED)
+    h[:m] = X.mix((roll.sums[SEED:] - roll.sums[:-SEED]) * roll.back[:m])
     up = np.minimum.accumulate(h.reshape(-1, span), axis=1).ravel()
     down = np.minimum.accumulate(h.reshape(-1, span)[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = np.arange(n - DEPTH + 1)
     return np.minimum(down[at], up[at + span - 1])
 
 
@@ -153,7 +152,7 @@ class Asked:
         if not len(sent):
             self.starts = self.sizes = self.bucket = np.zeros(0, np.int64)
             return
-        to = (X.mix(minimisers(block.roll, block.n)[sent]) % np.uint64(buckets)).astype(np.int64)
+        to = (X.mix(minimisers(block.roll, block.n, sent)) % np.uint64(buckets)).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], (np.diff(sent) != 1) | (np.diff(to) != 0)]))
         order = np.argsort(to[begin], kind="stable")
         self.starts, self.bucket = sent[begin][order], to[begin][order]
@@ -196,11 +195,8 @@ class Sorted:
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
         n = len(data)
-        wide = np.concatenate([data, np.zeros(DEPTH + 20, np.uint8)]).astype(np.uint64)
-        m = n + DEPTH + 12
-        self.data, self.words = data, np.zeros(m, np.uint64)
-        for k in range(8):
-            self.words |= wide[k : k + m] << np.uint64(56 - 8 * k)
+        wide = np.concatenate([data, np.zeros(DEPTH + 20, np.uint8)])
+        self.data, self.words = data, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8)).view(">u8").ravel().astype(np.uint64)
         near = np.bincount(starts, minlength=n + 1) - np.bincount(starts + DEPTH, minlength=n + 1)
         cover = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER) & (np.cumsum(near[:-1]) > 0))
         steps = range(0, RANKED, 8)
