@@ -39,9 +39,9 @@ DEPTH = 5  # 8 * (DEPTH + 1) bits of a key and 16 of a row number make 64
 PACKED_ROWS = 1 << 16  # blocks of more rows sort their row numbers beside the keys
 END = 255  # never a byte of UTF-8; also stands before the first
 FOLDS, HELD = 7, 2
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 30_000
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 1_000_000
 ASK = "bucket int, block int, kind int, keys binary, counts binary"
 ANSWER = "block int, kind int, bucket int, values binary"
 NODES = "node int, bucket int, n0 long, n1 long, below double"
@@ -100,7 +100,7 @@ class Block:
         put = np.arange(len(data)) + np.repeat((np.arange(self.n) + 1) * DEPTH + np.arange(self.n), self.sizes)
         padded = np.full(len(data) + self.n * (DEPTH + 1), END, np.uint8)
         padded[put] = data
-        row = np.repeat(np.arange(self.n), self.sizes + DEPTH + 1)
+        row = np.repeat(np.arange(self.n, dtype=np.uint32), self.sizes + DEPTH + 1)
         coded = np.ones(len(padded), bool)
         for i, at in enumerate((offsets[:-1] + np.arange(self.n) * (DEPTH + 1)).tolist()):
             coded[at : at + DEPTH] = False
@@ -113,7 +113,7 @@ class Block:
             self.row = (key & np.uint64(0xFFFF)).astype(np.int64)
         else:
             order = np.argsort(key[coded], kind="stable")
-            self.row, key = row[coded][order], key[coded][order]
+            self.row, key = row[coded][order].astype(np.int64), key[coded][order]
         gram = key >> np.uint64(16)
         self.starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         self.grams = gram[self.starts]
