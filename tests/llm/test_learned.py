@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnstone.llm import near, quality, registry, simhash
-from turnstone.llm.common import table
+from turnstone.llm.common import sifted, table
+from turnstone.sources import scratch
 
 ROWS = B.odd_documents()
 
@@ -170,3 +171,23 @@ def test_near_copies_of_repeated_ids(spark):
     rows += [(500, "one unrelated text of some words"), (500, "and quite another one with other words"), (500, "and quite another one with other words")]
     kept = sorted((r["doc_id"], r["text"]) for r in near.remove_near_copies(B.frame(spark, rows)).collect())
     assert kept == sorted({r for r in rows if r[0] < 100 or r[0] == 500})
+
+
+def test_rows_without_partner_are_not_shuffled(spark):
+    rng = random.Random(5)
+    rows = [(i, B.text(rng, 90, 10**6)) for i in range(200)]
+    rows += [(1000 + i, t + " more") for i, (_, t) in enumerate(rows[:40])]
+    docs, keys = B.frame(spark, rows), B.frame(spark, rows[150:190]).select("doc_id")
+    likely, sure = sifted(docs, [F.col("doc_id")], keys, ["doc_id"])
+    met, left = ({r["doc_id"] for r in x.collect()} for x in (likely, sure))
+    assert set(range(150, 190)) <= met and met.isdisjoint(left) and met | left == {k for k, _ in rows} and len(met) < 60
+    before, threshold = scratch.mark(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near.remove_near_copies(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.startswith("Union") and "SortMergeJoin" not in plan.split("\n+- ")[0]  # what surely stays
+    assert scratch.mark() - before <= 4  # tables on disk: what goes, what is there twice, and their bitmaps

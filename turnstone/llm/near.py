@@ -39,8 +39,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnstone.sources import scratch
+
 from . import exchange as X
-from .common import parts, spread_join, written
+from .common import parts, sifted, spread_join, written
 from .components import components
 from .simhash import DISTANCE, Stars, fingerprint, near_links
 
@@ -206,7 +208,7 @@ def chunks(sizes: np.ndarray, most: int) -> list[slice]:
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """cid and hashes, the shingle set, of members (cid, and a document of the class)."""
+    """cid and hashes, the shingle set, of members (cid, each once, and a document of the class).  Texts that are not asked for are not shuffled."""
 
     def sets(batches):
         import pyarrow as pa
@@ -215,8 +217,9 @@ def shingle_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
             hashes = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(hashes, pa.binary())], names=["cid", "hashes"])
 
-    texts = docs.join(members.select("cid", *UNIT).dropDuplicates(["cid"]), UNIT).select("cid", "text")
-    return texts.dropDuplicates(["cid"]).mapInArrow(sets, "cid long, hashes binary")
+    members = written(members.select("cid", *UNIT))
+    likely, _ = sifted(docs, [F.col(c) for c in UNIT], members, UNIT)
+    return likely.dropDuplicates(UNIT).join(members, UNIT).select("cid", "text").mapInArrow(sets, "cid long, hashes binary")
 
 
 def piece(pieces: str):
@@ -344,6 +347,7 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
 def remove_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay: of each group one document with the smallest doc_id.  Groups join up documents with the similarity and those that operator 8 links by its own fingerprints."""
+    held = scratch.mark()
     found, classes, tight = compared(units(docs), similarity, shingle)
     # fingerprints are nodes beside the classes: numbers below zero
     both = written(found.groupBy("k0", "k1", "fp").agg(F.count("*").alias("n")).join(classes.select("cid", "k0", "k1"), ["k0", "k1"]).select("cid", "fp"))
@@ -359,12 +363,16 @@ def remove_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     placed = written(placed.select("k0", "k1", "n", F.coalesce("component", "cid").alias("component")))
     grouped = written(spread_join(found.select(*UNIT, "k0", "k1"), placed, ["k0", "k1"], "n").select(*UNIT, "component"))
     stays = grouped.groupBy("component").agg(F.min(F.struct(*UNIT)).alias("stays"), F.count("*").alias("n"))
-    gone = written(spread_join(grouped, stays, ["component"], "n").where(F.struct(*UNIT) != F.col("stays")).select(*UNIT).distinct())
+    gone = spread_join(grouped, stays, ["component"], "n").where(F.struct(*UNIT) != F.col("stays")).select(*UNIT).distinct()
+    twice = grouped.groupBy(*UNIT).agg(F.count("*").alias("n")).where("n > 1").select(F.struct(*UNIT).alias("_twice"))
+    gone, twice = written(gone), written(twice)
+    scratch.release(docs.sparkSession, since=held, but=2)  # what follows reads these two and docs
     text, own = F.coalesce("text", F.lit("")), "_unit" + "_" * max(map(len, docs.columns))  # no column of docs
     marked = docs.withColumn(own, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(0), text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1")))
-    left = marked.join(gone.select(F.struct(*UNIT).alias("_gone")), F.col(own) == F.col("_gone"), "left_anti")
-    twice = written(grouped.groupBy(*UNIT).agg(F.count("*").alias("n")).where("n > 1").select(F.struct(*UNIT).alias("_twice")))
+    likely, sure = sifted(marked, [F.col(own)[c] for c in UNIT], gone, UNIT)
+    left = sure.unionByName(likely.join(gone.select(F.struct(*UNIT).alias("_gone")), F.col(own) == F.col("_gone"), "left_anti"))
     if not twice.isEmpty():
-        one = left.join(twice, F.col(own) == F.col("_twice"), "left_semi").dropDuplicates([own])
-        left = left.join(twice, F.col(own) == F.col("_twice"), "left_anti").unionByName(one)
+        again, once = sifted(left, [F.col(own)[c] for c in UNIT], twice.select("_twice.*"), UNIT)
+        one = again.join(twice, F.col(own) == F.col("_twice"), "left_semi").dropDuplicates([own])
+        left = once.unionByName(again.join(twice, F.col(own) == F.col("_twice"), "left_anti")).unionByName(one)
     return left.select(*docs.columns)
