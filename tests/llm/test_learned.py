@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnstone.llm import near, quality, registry, simhash
-from turnstone.llm.common import sifted, table
+from turnstone.llm.common import sifted, table, written
 from turnstone.sources import scratch
 
 ROWS = B.odd_documents()
@@ -191,3 +191,16 @@ def test_rows_without_partner_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.startswith("Union") and "SortMergeJoin" not in plan.split("\n+- ")[0]  # what surely stays
     assert scratch.mark() - before <= 4  # tables on disk: what goes, what is there twice, and their bitmaps
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+        return {f for f in found if "/shuffle_" in f}
+
+    for _ in range(5):
+        before = files()
+        out = written(table(spark, DATA, "documents").repartition(3, "doc_id"))
+        assert not files() - before and out.count() == 200
+    frame = table(spark, DATA, "documents").repartition(3, "doc_id")  # a frame stays of use, before and after it is written
+    assert len(frame.collect()) == written(frame).count() == len(frame.collect())
