@@ -204,3 +204,30 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         assert not files() - before and out.count() == 200
     frame = table(spark, DATA, "documents").repartition(3, "doc_id")  # a frame stays of use, before and after it is written
     assert len(frame.collect()) == written(frame).count() == len(frame.collect())
+
+
+def test_a_large_group_is_not_linked_anew_in_each_band(spark, monkeypatch):
+    monkeypatch.setattr(near, "TASK_ENTRIES", 500)
+    rng, made, links_of = random.Random(12), [], near.loose_links
+    monkeypatch.setattr(near, "loose_links", lambda *a: made.append(links_of(*a)) or made[-1])
+    base = B.text(rng, 120, 10**6).split()
+    rows = [(i, " ".join([*base[: i % 120], f"new{i}", *base[i % 120 + 1 :]])) for i in range(600)]
+    rows += [(1000 + i, B.text(rng, 90, 10**6)) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(B.frame(spark, rows)).collect()}
+    assert got == {k: 0 if k < 1000 else k for k, _ in rows}
+    assert 599 <= sum(f.count() for f in made) < 10 * 600  # some bands times 600 before
+
+
+@pytest.mark.parametrize("centres", [1, 5, 300])
+def test_sweep_links_what_all_pairs_link(centres):
+    rng = np.random.default_rng(centres)
+    check = rng.integers(0, 2**63, (centres, 2), dtype=np.uint64)[rng.integers(0, centres, 300)]
+    for row in check:
+        for b in rng.integers(0, 128, 24):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    who, got, expected = rng.integers(0, 250, 300), simhash.Stars(300), simhash.Stars(300)
+    near.sweep(who, check, got)
+    i, j = np.triu_indices(300, 1)
+    alike = np.bitwise_count(check[i] ^ check[j]).sum(axis=1) <= near.LOOSE
+    expected.link(who[i[alike]], who[j[alike]])
+    assert (got.roots(np.arange(300)) == expected.roots(np.arange(300))).all()

@@ -15,7 +15,10 @@ SIMILARITY at least are linked; one of each linked group stays.
    the others form bands, and classes that agree on a whole band meet there.  A
    band's bits grow with the logarithm of the number of classes; the number of
    bands follows the chance MISS that a pair right at the threshold meets nowhere.
-   Those that meet and are within LOOSE of the CHECK bits form loose groups.
+   Those that meet and are within LOOSE of the CHECK bits form loose groups: first
+   by FIRST bands, then by the others, where what is joined up already is neither
+   compared nor linked again.  So a large group of near copies is not linked anew
+   in each band, nor are all its pairs compared in any.
 3. Within a group of either kind similarities are exact.  Groups of over PIECE classes are
    cut into pieces.  First the classes of each piece are compared, then the first
    class of each component so found with those of the other pieces.  What has
@@ -52,6 +55,8 @@ MISS = 1e-6
 FEW = 64
 SKETCH = 2048
 CHECK, LOOSE = 128, 40  # at similarity 0.8 19.5 bits differ, five deviations more make 40; unlike sets differ in 64
+FIRST = 8  # bands of the first round
+MANY = 256  # classes that meet in a band, beyond which not all their pairs are compared outright
 STEP = 64  # sketches turned at a time
 PIECE = 400
 TASK_ENTRIES = 100_000
@@ -154,9 +159,9 @@ def rare_groups(classes: DataFrame, similarity: float) -> DataFrame:
     return groups.join(groups.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1"), "comp").select("cid", "comp")
 
 
-def loose_links(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
-    """Links (a, b) that join up all classes (cid, c0, c1, bands) that meet in a band and are near."""
-    tasks = max(parts(classes.sparkSession), math.ceil(n * bands / TASK_ENTRIES))
+def loose_links(classes: DataFrame, n: int, bits: int, bands: int, some: range) -> DataFrame:
+    """Links (a, b) between groups that join up all classes (cid, group, c0, c1, bands) that meet in one of some bands and are near."""
+    tasks = max(parts(classes.sparkSession), math.ceil(n * len(some) / TASK_ENTRIES))
 
     def entries(batches):
         import pyarrow as pa
@@ -164,12 +169,12 @@ def loose_links(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
         for batch in batches:
             m = batch.num_rows
             packed = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint8).reshape(m, -1)
-            wide = np.zeros((m, bands, 64), np.uint8)
-            wide[:, :, :bits] = np.unpackbits(packed, axis=1, count=bits * bands).reshape(m, bands, bits)
+            wide = np.zeros((m, len(some), 64), np.uint8)
+            wide[:, :, :bits] = np.unpackbits(packed, axis=1, count=bits * bands).reshape(m, bands, bits)[:, some.start : some.stop]
             values = np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
-            out = np.empty((m, bands, 4), np.uint64)
-            out[:, :, 0] = X.mix(values + np.arange(bands, dtype=np.uint64) * np.uint64(X.ODD))  # a one-to-one image of the value, for each band
-            for k, c in enumerate(("cid", "c0", "c1"), 1):
+            out = np.empty((m, len(some), 4), np.uint64)
+            out[:, :, 0] = X.mix(values + np.arange(some.start, some.stop, dtype=np.uint64) * np.uint64(X.ODD))  # a one-to-one image of the value, for each band
+            for k, c in enumerate(("group", "c0", "c1"), 1):
                 out[:, :, k] = batch.column(c).to_numpy().view(np.uint64)[:, None]
             out = out.reshape(-1, 4)
             to = (out[:, 0] % np.uint64(tasks)).astype(np.int64)
@@ -182,21 +187,54 @@ def loose_links(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
         import pyarrow as pa
 
         rows = np.concatenate([np.frombuffer(r, np.uint64).reshape(-1, 4) for r in got["rows"].to_pylist()])
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        cids, who = np.unique(rows[:, 1].view(np.int64), return_inverse=True)
-        stars, check = Stars(len(cids)), rows[:, 2:].copy()
-        n = np.arange(len(rows))
-        later = np.searchsorted(rows[:, 0], rows[:, 0], side="right") - n - 1  # rows after each in its group
+        groups, who = np.unique(rows[:, 1].view(np.int64), return_inverse=True)
+        order = np.lexsort((who, rows[:, 0]))
+        rows, who = rows[order], who[order]
+        stars, check, n = Stars(len(groups)), rows[:, 2:].copy(), np.arange(len(rows))
+        ends = np.searchsorted(rows[:, 0], rows[:, 0], side="right")  # of those that meet
+        cut = np.concatenate([(rows[1:, 0] != rows[:-1, 0]) | (who[1:] != who[:-1]), np.ones(min(1, len(rows)), bool)])
+        others = np.flatnonzero(cut)[np.cumsum(cut) - cut] + 1  # where those of other groups begin
+        first = np.searchsorted(rows[:, 0], rows[:, 0], side="left")
+        large = ends - first > MANY
+        later = np.where(large, 0, ends - others)
         for s in chunks(later, 1 << 18):
             left = np.repeat(n[s], later[s])
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[s]) - later[s], later[s])
+            right = others[left] + np.arange(len(left)) - np.repeat(np.cumsum(later[s]) - later[s], later[s])
             near = np.bitwise_count(check[left] ^ check[right]).sum(axis=1) <= LOOSE
             stars.link(who[left[near]], who[right[near]])
-        root = stars.roots(np.arange(len(cids)))
-        moved = np.flatnonzero(root != np.arange(len(cids)))
-        return pa.table({"a": pa.array(cids[moved]), "b": pa.array(cids[root[moved]])})
-
-    return classes.select("cid", "c0", "c1", "bands").mapInArrow(entries, "task int, rows binary").repartition(tasks, "task").groupBy("task").applyInArrow(walk, "a long, b long")
+        for at in np.flatnonzero(large & (first == n)).tolist():
+            sweep(who[at : ends[at]], check[at : ends[at]], stars)
+        root = stars.roots(np.arange(len(groups)))
+        moved = np.flatnonzero(root != np.arange(len(groups)))
+        return pa.table({"a": pa.array(groups[moved]), "b": pa.array(groups[root[moved]])})
+
+    return classes.select("group", "c0", "c1", "bands").mapInArrow(entries, "task int, rows binary").repartition(tasks, "task").groupBy("task").applyInArrow(walk, "a long, b long")
+
+
+def sweep(who: np.ndarray, check: np.ndarray, stars: Stars) -> None:
+    """Links all near rows and those of one group: each is compared only with those that nothing has reached yet."""
+    left, reached = np.arange(len(who)), np.zeros(0, np.int64)
+    while len(left):
+        if not len(reached):
+            reached, left = left[:1], left[1:]
+        i, reached = reached[-1], reached[:-1]
+        near = (who[left] == who[i]) | (np.bitwise_count(check[left] ^ check[i]).sum(axis=1) <= LOOSE)
+        if near.any():
+            found, left = left[near], left[~near]
+            stars.link(who[found], np.full(len(found), who[i]))
+            reached = np.concatenate([reached, found])
+
+
+def loose_groups(classes: DataFrame, n: int, bits: int, bands: int) -> DataFrame:
+    """cid and comp: the loose groups of classes (cid, c0, c1, bands), each of two at least."""
+    first = written(loose_links(classes.withColumn("group", F.col("cid")), n, bits, bands, range(min(FIRST, bands))))
+    if bands > FIRST:
+        known = written(components(first))
+        linked, single = sifted(classes, [F.col("cid")], known, ["node"])
+        named = linked.join(known, F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("component", "cid")).drop("node", "component")
+        more = loose_links(named.unionByName(single.withColumn("group", F.col("cid"))), n, bits, bands, range(FIRST, bands))
+        first = written(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return components(first).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
 
 
 def chunks(sizes: np.ndarray, most: int) -> list[slice]:
@@ -331,7 +369,7 @@ def compared(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFram
     first = F.min(F.struct(*UNIT, "c0", "c1", "bands", "few")).alias("first")
     classes = found.groupBy("k0", "k1").agg(first, F.count("*").alias("n")).select("k0", "k1", "n", "first.*")
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
-    loose = components(written(loose_links(classes.where("bands IS NOT NULL"), n, bits, bands))).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    loose = loose_groups(classes.where("bands IS NOT NULL").select("cid", "c0", "c1", "bands"), n, bits, bands)
     loose = loose.unionByName(rare_groups(classes, similarity))
     return found, classes.select("cid", "k0", "k1", "n"), written(tight_links(docs, classes, written(loose), similarity, shingle))
 
