@@ -30,7 +30,9 @@ def squares(left: DataFrame, right: DataFrame, compare: Callable, schema: str, s
 def unit_rows(vectors):
     """A pyarrow column of vectors as a matrix of rows of length one; zeros stay."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    v = np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
+    held = vectors.to_pylist() if vectors.null_count else pc.list_flatten(vectors).to_numpy()
+    v = np.array(held, float).reshape(len(vectors), -1)
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
